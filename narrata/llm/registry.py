@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that states their results, by name."""
 
-from narrata.llm import bpe
+from narrata.llm import bpe, minhash
 
 QUERIES = {
     "op4_bpe_chunk_reuse": bpe.op4_bpe_chunk_reuse,
+    "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {}
