@@ -13,7 +13,9 @@ columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import partial
@@ -27,15 +29,29 @@ from narrata.llm.chunking import chunks, digest, plan, with_plan
 from narrata.llm.common import stage, table, text_key
 
 HOW = {"bits": 10, "least": 256, "most": 8192, "chars": True}
-#: Words kept with their ids in each Python worker; the memory of the codec is bounded by it.
-KEPT_WORDS = 200_000
+#: Pieces kept with their ids in each Python worker; the memory of the codec is bounded by it.
+KEPT = 200_000
 WHITE = b" \t\n\r\x0b\x0c"
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 STAGED = f"{OUT}, key binary, kind int, digest binary, pieces array<binary>, need array<binary>"
 
+# Fixed values of the tokenizer file for which ASCII text is split here: its normalizer and its pre-tokenizer's pattern.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: PATTERN over lower-case ASCII bytes.
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The same, but all of a word in which there are other characters.
+MIXED_PIECES = re.compile(rb"[^\s\x80-\xff]*+[\x80-\xff]\S*|" + ASCII_PIECES.pattern)
+#: The longest word that MIXED_PIECES is used on, as it looks ahead from each piece to the end of the word.
+LONGEST = 1000
+
 
 class Codec:
-    """A tokenizer file and the words met lately: word -> (ids, ids as text, decoded text)."""
+    """A tokenizer file, and the pieces of text met lately with their ids and their decoded text.
+
+    A piece is a pre-token where the text is ASCII and the file splits as PATTERN does, else what stands between white
+    space. The library encodes every new piece, so ids are always its own.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,69 +60,81 @@ class Codec:
         self.of = Tokenizer.from_file(path)
         self.of.no_truncation()
         self.of.no_padding()
-        self.words: dict[bytes, tuple] = {}
-        self.names: dict[int, bytes] = {}
-
-    def name(self, i: int) -> bytes:
-        if i not in self.names:
-            self.names[i] = self.of.id_to_token(i).encode()
-        return self.names[i]
-
-    def entry(self, ids: list[int]) -> tuple:
-        return np.array(ids, np.uint32).tobytes(), b" ".join(b"%d" % i for i in ids), b" ".join(map(self.name, ids))
-
-    def learn(self, words: set[bytes]) -> None:
-        if new := [w for w in words if w not in self.words]:
-            if len(self.words) + len(new) > KEPT_WORDS:
-                self.words.clear()
-                new = list(words)
-            got = self.of.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.words.update((w, self.entry(e.ids)) for w, e in zip(new, got, strict=True))
-
-    def result(self, ids: list[bytes], text: list[bytes], decoded: list[bytes]) -> tuple[int, str, str]:
-        sha = lambda parts: hashlib.sha256(b" ".join(filter(None, parts))).hexdigest()
-        return sum(map(len, ids)) // 4, sha(text), sha(decoded)
+        says = json.loads(self.of.to_str())
+        split, byte_level = ((says["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])[:2]
+        self.ascii = says["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": PATTERN} and byte_level.get("type") == "ByteLevel" and not byte_level["add_prefix_space"]
+        self.special = [t["content"].encode() for t in says["added_tokens"]]
+        self.ids: dict[bytes, bytes] = {}
+        self.text: dict[bytes, bytes] = {}
+        n = 1 + max(self.of.get_vocab(with_added_tokens=True).values())
+        self.names = [(self.of.id_to_token(i) or "").encode() for i in range(n)]
+        self.numbers = [b"%d" % i for i in range(n)]
+
+    def split(self, data: bytes) -> list[bytes]:
+        if self.ascii and not any(s in data for s in self.special):
+            if data.isascii():
+                return ASCII_PIECES.findall(data.lower())
+            if len(max(words := data.split(), key=len)) <= LONGEST:
+                return MIXED_PIECES.findall(data.lower())
+            return words
+        return data.split()
+
+    def learn(self, pieces: list[bytes]) -> None:
+        if not (new := set(pieces).difference(self.ids)):
+            return
+        if len(self.ids) + len(new) > KEPT:
+            self.ids.clear()
+            self.text.clear()
+            new = set(pieces)
+        letters = [p for p in new if p.isalpha() and p.islower()] if self.ascii else []  # bytes: ASCII letters only
+        tokens = self.of.model.tokenize
+        got = [(p, [t.id for t in tokens(p.decode())]) for p in letters]
+        rest = list(new.difference(letters))
+        got += ((p, e.ids) for p, e in zip(rest, self.of.encode_batch([p.decode() for p in rest], add_special_tokens=False), strict=True))
+        for p, ids in got:
+            self.ids[p], self.text[p] = self.spelled(ids)
+
+    def spelled(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return b" ".join([self.numbers[i] for i in ids]), b" ".join([self.names[i] for i in ids])
+
+    def encoded(self, data: bytes) -> tuple[bytes, bytes]:
+        """The ids of a text, and what they decode to, both joined by a space."""
+        pieces = self.split(data)
+        self.learn(pieces)
+        ids, text = (b" ".join(map(of.__getitem__, pieces)) for of in (self.ids, self.text))
+        if not all(map(self.ids.__getitem__, set(pieces))):  # a piece may have no ids
+            ids, text = (b" ".join(filter(None, map(of.__getitem__, pieces))) for of in (self.ids, self.text))
+        return ids, text
 
     def whole(self, data: bytes) -> tuple[int, str, str]:
-        """Of a text none of whose chunks come from elsewhere."""
-        words = data.split()
-        self.learn(set(words))
-        known = self.words
-        return self.result(*zip(*[known[w] for w in words], strict=True)) if words else self.result([], [], [])
+        return result(*self.encoded(data))
 
     def piece(self, chunk: bytes) -> bytes:
         """A chunk's own part: the fragment before its first white space, the one after its last, the ids between."""
-        words = chunk.split()
-        if len(chunk.translate(None, WHITE)) == len(chunk):
+        ends = re.split(rb"[ \t-\r]+", chunk)
+        if len(ends) == 1:
             return struct.pack("<BII", 1, len(chunk), 0) + chunk
-        head = b"" if chunk[:1] in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c") else words[0]
-        tail = b"" if chunk[-1:] in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c") else words[-1]
-        middle = words[bool(head) : len(words) - bool(tail)]
-        self.learn(set(middle))
-        return struct.pack("<BII", 0, len(head), len(tail)) + head + tail + b"".join(self.words[w][0] for w in middle)
+        first, last = ends[0], ends[-1]
+        middle = chunk[len(first) : len(chunk) - len(last)]
+        return struct.pack("<BII", 0, len(first), len(last)) + first + last + np.array(self.encoded(middle)[0].split(), np.uint32).tobytes()
 
     def joined(self, pieces: list[bytes]) -> tuple[int, str, str]:
         """Of a document's pieces in order; the seams are encoded anew."""
-        ids: list[tuple] = []
-        open_ = b""
-
-        def close(word: bytes) -> None:
-            if word:
-                self.learn({word})
-                ids.append(self.words[word])
-
+        done: list[tuple[bytes, bytes]] = []
+        seam = b""
         for p in pieces:
             single, a, b = struct.unpack_from("<BII", p)
-            head, tail, middle = p[9 : 9 + a], p[9 + a : 9 + a + b], p[9 + a + b :]
-            if single:
-                open_ += head
-                continue
-            close(open_ + head)
-            if middle:
-                ids.append(self.entry(np.frombuffer(middle, np.uint32).tolist()))
-            open_ = tail
-        close(open_)
-        return self.result(*zip(*ids, strict=True)) if ids else self.result([], [], [])
+            first, last, middle = p[9 : 9 + a], p[9 + a : 9 + a + b], p[9 + a + b :]
+            seam += first
+            if not single:
+                done += [self.encoded(seam), self.spelled(np.frombuffer(middle, np.uint32).tolist())]
+                seam = last
+        done.append(self.encoded(seam))
+        return result(*(b" ".join(filter(None, x)) for x in zip(*done, strict=True)))
+
+
+def result(ids: bytes, text: bytes) -> tuple[int, str, str]:
+    return ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,17 @@ BROADCAST_LIMIT = 32 * 1024 * 1024
 _local: list[str] = []
 
 
+#: Rows and bytes handed to a Python worker at a time: they bound its memory where single texts reach hundreds of kB.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bounded(spark: SparkSession) -> None:
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
