@@ -7,8 +7,8 @@ at most j no later rank can win, hence the early stop. Here a rank is taken for
 
 Documents with equal shingle sets fall into one class first. Classes that share a band are compared on their full sets,
 never as all pairs of a band: first with one pivot for each band, then between parts that are still apart, with one pivot
-for each of two rounds, and last the documents of the smaller part with every document of the larger one. So any two
-documents that share a band end either compared or in one component.
+for each of two rounds, and last the documents of the smaller part with every document of the larger one (on their signatures first, where all
+but 1e-9 of the links pass). So any two documents that share a band end either compared or in one component.
 
 Defined cases: null or white text has no shingles (n_shingles 0), links with nothing and is kept; fewer words than the
 shingle's length make one shingle of all words; rows with a null doc_id are kept, never linked, and have a null component;
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from narrata.llm.common import mix64, small, stage, table
 
 BANDS, ROWS = 32, 5
-KEPT_WORDS = 400_000
-#: Shingles signed at a time; with it the permutations of one step stay under 40 MB.
-STEP = 200_000
+KEPT_WORDS = 150_000
+#: Shingles signed at a time; with it the permutations of one step stay under 20 MB (slots are bytes, so at most 256).
+STEP = 120_000
 GOLD = 0x9E3779B97F4A7C15
 EMPTY = np.iinfo(np.uint64).max
 
@@ -91,7 +91,7 @@ def sign(sets: list[np.ndarray], m: int) -> np.ndarray:
         left = going[row]
         if perm is None:
             e, row, slot = e[left], row[left], slot[left]
-            perm = np.tile(np.arange(m, dtype=np.int16), (len(e), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8), (len(e), 1))
             perm[np.arange(len(e)), slot] = 0
             perm[:, 0] = slot
         elif left.mean() < 0.8:
@@ -115,10 +115,12 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
     def out(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         keys: list = [None] * len(sets)
-        for i, x in zip(full, band_keys(sign([sets[i] for i in full], bands * rows), bands, rows), strict=True):
-            keys[i] = x
+        low: list = [None] * len(sets)
+        sig = sign([sets[i] for i in full], bands * rows)
+        for i, x, y in zip(full, band_keys(sig, bands, rows), sig.astype(np.uint8), strict=True):
+            keys[i], low[i] = x, y.tobytes()
         same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "same", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n", "same", "bands", "low"])
 
     for b in batches:
         ids, sets, n = [], [], 0
@@ -142,6 +144,14 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc", "shingles"])
 
 
+def _promising(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("x", "y"))
+        m, p = x.shape[1] if len(b) else 1, percent / 100
+        least = m * p - 6 * np.sqrt(m * p * (1 - p))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(1) >= least if len(b) else [], pa.bool_()))
+
+
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yes = []
@@ -177,7 +187,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     of 32 bands of 5 with probability 3e-6; every pair that shares one is decided on the full sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(docs.mapInArrow(partial(_signed, k=shingle, bands=bands, rows=rows), "doc_id long, n long, same binary, bands array<long>"), "signatures")
+    signed = stage(docs.mapInArrow(partial(_signed, k=shingle, bands=bands, rows=rows), "doc_id long, n long, same binary, bands array<long>, low binary"), "signatures")
     reps = signed.where("n > 0 and doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
     reps = stage(reps.select("same", F.col("r.doc_id").alias("doc"), "r.n", "r.bands"), "classes")
 
@@ -190,6 +200,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     ids = stage(members.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
     sets = stage(docs.join(small(ids, 16 * ids.count()), "doc_id", "left_semi").mapInArrow(partial(_sets, k=shingle), "doc long, shingles binary").dropDuplicates(["doc"]), "sets")
 
+    lows = stage(signed.select(F.col("doc_id").alias("doc"), "low").join(ids.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").dropDuplicates(["doc"]), "lows")
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Those that agree in as many slots as all but 1e-9 of linked pairs do (6 deviations)."""
+        with_x = pairs.join(lows.select(F.col("doc").alias("a"), F.col("low").alias("x")), "a")
+        with_y = with_x.join(lows.select(F.col("doc").alias("b"), F.col("low").alias("y")), "b")
+        return with_y.select("a", "b", "x", "y").mapInArrow(partial(_promising, percent=percent), "a long, b long")
+
     def verified(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         with_y = with_x.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
@@ -221,7 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             if turn:
                 continue
             break
-        more = stage(verified(new), "links")
+        more = stage(verified(new if turn else stage(promising(new), "pairs")), "links")
         tested = tested.union(new)
         if not more.isEmpty():
             links = links.union(more)
