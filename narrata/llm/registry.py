@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that states their results, by name."""
 
-from narrata.llm import bpe, minhash
+from narrata.llm import bpe, minhash, mixing
 
 QUERIES = {
+    "op2_mix_systematic": mixing.op2_mix_systematic,
     "op4_bpe_chunk_reuse": bpe.op4_bpe_chunk_reuse,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mix_systematic": mixing.OP2_SQL}
