@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that states their results, by name."""
 
-from narrata.llm import bpe, minhash, mixing
+from narrata.llm import bpe, media, minhash, mixing
 
 QUERIES = {
     "op2_mix_systematic": mixing.op2_mix_systematic,
+    "op3_media_chunks": media.op3_media_chunks,
     "op4_bpe_chunk_reuse": bpe.op4_bpe_chunk_reuse,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
