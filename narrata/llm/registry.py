@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that states their results, by name."""
 
-from narrata.llm import bpe, fingerprints, media, minhash, mixing, pii, quality, secrets
+from narrata.llm import bpe, fingerprints, media, minhash, mixing, pii, quality, secrets, urls
 
 QUERIES = {
     "op1_pii_disclosure": pii.op1_pii_disclosure,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_fingerprint_bottom_k": fingerprints.op5_fingerprint_bottom_k,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_quality_random_indexing": quality.op8_quality_random_indexing,
+    "op9_url_template_tree": urls.op9_url_template_tree,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 
