@@ -6,9 +6,10 @@ different slots are anti-correlated, hence a lower variance than independent has
 at most j no later rank can win, hence the early stop. Here a rank is taken for all shingles of many documents at once.
 
 Documents with equal shingle sets fall into one class first. Classes that share a band are compared on their full sets,
-never as all pairs of a band: first with one pivot for each band, then between parts that are still apart, with one pivot
-for each of two rounds, and last the documents of the smaller part with every document of the larger one (on their signatures first, where all
-but 1e-9 of the links pass). So any two documents that share a band end either compared or in one component.
+but not as all pairs of a band: first with one pivot for each band. Where a band still holds several components, packed
+blocks of its documents are compared on 16 bits of each shingle's hash, which bounds the similarity from above, and pairs
+that may be linked are decided on their sets: first only the best few of each document, which joins most of them, then all
+that are still in different components. So any two documents that share a band end either compared or in one component.
 
 Defined cases: null or white text has no shingles (n_shingles 0), links with nothing and is kept; fewer words than the
 shingle's length make one shingle of all words; rows with a null doc_id are kept, never linked, and have a null component;
@@ -33,6 +34,8 @@ BANDS, ROWS = 32, 5
 KEPT_WORDS = 150_000
 #: Shingles signed at a time; with it the permutations of one step stay under 20 MB (slots are bytes, so at most 256).
 STEP = 120_000
+#: Documents in a block of the later comparisons, and partners of a document that each block proposes at first.
+BLOCK, BEST = 64, 2
 GOLD = 0x9E3779B97F4A7C15
 EMPTY = np.iinfo(np.uint64).max
 
@@ -115,12 +118,10 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
     def out(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         full = [i for i, s in enumerate(sets) if len(s)]
         keys: list = [None] * len(sets)
-        low: list = [None] * len(sets)
-        sig = sign([sets[i] for i in full], bands * rows)
-        for i, x, y in zip(full, band_keys(sig, bands, rows), sig.astype(np.uint8), strict=True):
-            keys[i], low[i] = x, y.tobytes()
+        for i, x in zip(full, band_keys(sign([sets[i] for i in full], bands * rows), bands, rows), strict=True):
+            keys[i] = x
         same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n", "same", "bands", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "same", "bands"])
 
     for b in batches:
         ids, sets, n = [], [], 0
@@ -140,16 +141,9 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     for b in batches:
         for at in range(0, len(b), 500):
             part = b.slice(at, 500)
-            found = [shingles((t or "").encode(), k, words).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc", "shingles"])
-
-
-def _promising(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("x", "y"))
-        m, p = x.shape[1] if len(b) else 1, percent / 100
-        least = m * p - 6 * np.sqrt(m * p * (1 - p))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(1) >= least if len(b) else [], pa.bool_()))
+            found = [shingles((t or "").encode(), k, words) for t in part.column("text").to_pylist()]
+            short = [(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], ["doc", "shingles", "short"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -165,6 +159,39 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
 
+def _promising(batches: Iterator[pa.RecordBatch], percent: int, best: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs between two blocks of a band, of different components, that may be linked as far as 16 bits of each hash tell.
+
+    Shortened hashes can only raise the intersection, so no link is lost. A pair is given out by the first band that it
+    shares. best: only so many for each document of the first block.
+    """
+
+    def read(x: pa.Array) -> tuple:
+        bands = x.field("bands")
+        return x.field("doc").to_numpy(), x.field("label").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint16) for s in x.field("short")], bands.flatten().to_numpy().reshape(len(x), -1)
+
+    for b in batches:
+        a, to = [], []
+        for band, x, y in zip(b.column("band").to_pylist(), b.column("x"), b.column("y"), strict=True):
+            (doc, label, sets, keys), (docs, labels, others, bands) = read(x.values), read(y.values)
+            n = np.array([len(s) for s in others])
+            has = np.zeros((len(docs), 1 << 16), np.bool_)
+            has[np.repeat(np.arange(len(docs)), n), np.concatenate(others)] = True
+            for i, s in enumerate(sets):
+                at = np.flatnonzero((labels != label[i]) & (100 * np.minimum(n, len(s)) >= percent * np.maximum(n, len(s))))
+                at = at[bands[at, (bands[at] == keys[i]).argmax(1)] == band]
+                if not len(at):
+                    continue
+                both = np.minimum(has[at[:, None], s].sum(1), n[at])
+                ok = 100 * both >= percent * (n[at] + len(s) - both)
+                at, both = at[ok], both[ok] / (n[at] + len(s) - both)[ok]
+                if best is not None and len(at) > best:
+                    at = at[np.argsort(-both, kind="stable")[:best]]
+                a += np.minimum(doc[i], docs[at]).tolist()
+                to += np.maximum(doc[i], docs[at]).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc, label): the least document reachable over links (a, b); by least neighbour and pointer jumping, to a fixpoint."""
     both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -187,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     of 32 bands of 5 with probability 3e-6; every pair that shares one is decided on the full sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(docs.mapInArrow(partial(_signed, k=shingle, bands=bands, rows=rows), "doc_id long, n long, same binary, bands array<long>, low binary"), "signatures")
+    signed = stage(docs.mapInArrow(partial(_signed, k=shingle, bands=bands, rows=rows), "doc_id long, n long, same binary, bands array<long>"), "signatures")
     reps = signed.where("n > 0 and doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
     reps = stage(reps.select("same", F.col("r.doc_id").alias("doc"), "r.n", "r.bands"), "classes")
 
@@ -198,49 +225,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     alike = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     ids = stage(members.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
-    sets = stage(docs.join(small(ids, 16 * ids.count()), "doc_id", "left_semi").mapInArrow(partial(_sets, k=shingle), "doc long, shingles binary").dropDuplicates(["doc"]), "sets")
-
-    lows = stage(signed.select(F.col("doc_id").alias("doc"), "low").join(ids.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").dropDuplicates(["doc"]), "lows")
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        """Those that agree in as many slots as all but 1e-9 of linked pairs do (6 deviations)."""
-        with_x = pairs.join(lows.select(F.col("doc").alias("a"), F.col("low").alias("x")), "a")
-        with_y = with_x.join(lows.select(F.col("doc").alias("b"), F.col("low").alias("y")), "b")
-        return with_y.select("a", "b", "x", "y").mapInArrow(partial(_promising, percent=percent), "a long, b long")
+    sets = stage(docs.join(small(ids, 16 * ids.count()), "doc_id", "left_semi").mapInArrow(partial(_sets, k=shingle), "doc long, shingles binary, short binary").dropDuplicates(["doc"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         with_y = with_x.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
         return with_y.select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
-    tested = stage(members.where((F.col("doc") != F.col("p")) & alike("n", "pn")).select(*pair("doc", "p")).distinct(), "pairs")
-    links = stage(verified(tested), "links")
+    pairs = stage(members.where((F.col("doc") != F.col("p")) & alike("n", "pn")).select(*pair("doc", "p")).distinct(), "pairs")
+    links = stage(verified(pairs), "links")
     labels = components(links)
-    for turn in (1, 2, 0):
-        parts = members.select("band", "doc", "n").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        apart = parts.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("band")
-        parts = stage(parts.join(apart, "band"), "parts")
-        if parts.isEmpty():
-            break
-        groups = parts.groupBy("band", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n")).alias("p"))
-        if turn:
-            top = groups.groupBy("band").agg(F.max(F.struct("c", "label", "p")).alias("t"))
-            new = groups.join(top, "band").where((F.col("label") != F.col("t.label")) & alike("p.n", "t.p.n")).select(*pair("p.doc", "t.p.doc"))
-        else:
-            size = labels.groupBy("label").agg(F.count("*").alias("size"))
-            sized = groups.join(size, "label", "left").select("band", "label", F.coalesce("size", F.lit(1)).alias("size"))
-            mine = parts.join(sized, ["band", "label"]).select("band", "doc", "n", "label", "size")
-            other = sized.select("band", F.col("label").alias("to"), F.col("size").alias("to_size"))
-            wanted = mine.join(other, "band").where(F.struct("to_size", "to") > F.struct("size", "label")).select("doc", "n", "to").distinct()
-            there = members.select("doc", "n").distinct().join(labels, "doc", "left").select(F.coalesce("label", "doc").alias("to"), F.col("doc").alias("with"), F.col("n").alias("wn"))
-            new = wanted.join(there, "to").where(alike("n", "wn")).select(*pair("doc", "with"))
-        new = stage(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if turn:
-                continue
+    seen = stage(reps.select("doc", "bands").join(sets.select("doc", "short"), "doc").dropDuplicates(["doc"]), "seen")
+    for best in (BEST, None):
+        parts = members.select("band", "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        groups = parts.groupBy("band", "label").agg(F.count("*").alias("c"))
+        several = groups.groupBy("band").agg(F.count("*").alias("k"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("rest")).where("k > 1")
+        groups = groups.join(several, "band").select("band", "label", F.when(F.col("c") >= BLOCK, F.col("label")).alias("own"), F.when(F.col("c") >= BLOCK, F.col("c")).otherwise(F.col("rest")).alias("size"))
+        block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)).alias("block")
+        parts = parts.join(groups, ["band", "label"]).join(seen, "doc").groupBy("band", "own", block).agg(F.collect_list(F.struct("doc", "label", "short", "bands")).alias("x"))
+        blocks = stage(parts, "blocks")
+        if blocks.isEmpty():
             break
-        more = stage(verified(new if turn else stage(promising(new), "pairs")), "links")
-        tested = tested.union(new)
+        name = lambda own, block: F.struct(F.coalesce(F.col(own), F.lit(-1)), F.col(own).isNull(), F.col(block))
+        other = blocks.select("band", F.col("own").alias("y_own"), F.col("block").alias("y_block"), F.col("x").alias("y"))
+        met = blocks.join(other, "band").where((name("own", "block") <= name("y_own", "y_block")) & F.coalesce(F.col("own") != F.col("y_own"), F.lit(True)))
+        met = met.select("band", "x", "y").mapInArrow(partial(_promising, percent=percent, best=best), "a long, b long")
+        more = stage(verified(stage(met.distinct(), "pairs")), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
