@@ -1,4 +1,5 @@
 """The queries of the engine and the SQL that states their results, by name."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from narrata.plans.catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
