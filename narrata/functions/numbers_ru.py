@@ -5,8 +5,6 @@ Each rule exists twice, from the same tables: as a Spark column and as SQL text
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,12 +73,13 @@ class Sql:
     pick = staticmethod(lambda k, i: f"w.{k}[({i}) + 1]")
     replace = staticmethod(lambda x, p, by: f"regexp_replace({x}, '{p}', '{by}')")
     ends = staticmethod(lambda x, s: f"({x} LIKE '%{s}')")
-    _names = itertools.count()
+    _names = 0
 
     @staticmethod
     def let(x: str, f) -> str:
         """f of a value that is computed once."""
-        v = f"v{next(Sql._names)}"
+        Sql._names += 1
+        v = f"v{Sql._names}"
         return f"list_transform([{x}], lambda {v}: {f(v)})[1]"
 
     @staticmethod

@@ -47,8 +47,6 @@ def _named(name: str, f):
     return f
 
 
-T = F.col("text")
-
 # --- segmentation -----------------------------------------------------------------------------------------------------
 
 WS = r"[\s\x1c-\x1f]"
@@ -61,7 +59,7 @@ SENTENCES = rf"""list_transform(list_filter(list_transform({SPLIT}, lambda p: re
 @query(rf"""WITH s AS (SELECT source, unnest({SENTENCES}) AS s FROM documents)
 SELECT source, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars, max(length(s)) AS longest FROM s GROUP BY source""")
 def sentence_counts(spark, t):
-    s = t("documents").select("source", F.explode(sentences.sentences(T)).alias("s"))
+    s = t("documents").select("source", F.explode(sentences.sentences(F.col("text"))).alias("s"))
     return s.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
@@ -72,7 +70,7 @@ PACK = """list_reduce(list_transform(ps, lambda p: {'k': 0::BIGINT, 'l': length(
 @query(rf"""WITH s AS (SELECT source, doc_id, list_filter({SENTENCES}, lambda p: length(p) <= 1000) AS ps FROM documents), p AS (SELECT source, {PACK} AS f FROM s WHERE len(ps) > 0)
 SELECT source, CAST(sum(f.k) AS BIGINT) AS chunks, CAST(max(greatest(f.m, f.l - 1)) AS BIGINT) AS longest FROM p GROUP BY source""")
 def chunk_plan_sizes(spark, t):
-    pieces = F.filter(sentences.sentences(T), lambda p: F.length(p) <= 1000)
+    pieces = F.filter(sentences.sentences(F.col("text")), lambda p: F.length(p) <= 1000)
     chunks = t("documents").select("source", "doc_id", pieces.alias("ps")).select("source", "doc_id", F.explode(sentences.packed(F.col("ps"))).alias("c"))
     return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.max(F.length("c")).cast("long").alias("longest"))
 
@@ -99,8 +97,8 @@ one("reflow_lines", "documents", "doc_id", lambda: whitespace.reflowed(F.replace
   lambda p: list_reduce(p, lambda a, l: a || CASE WHEN regexp_matches(l, '^[—–-]\s') OR regexp_matches(a, '[.!?…»"”)]$') THEN chr(10) ELSE ' ' END || l)), chr(10) || chr(10))""")
 one("quote_normalize", "documents", "doc_id", lambda: whitespace.quotes(F.concat(F.lit("“"), F.substring("text", 1, 40), F.lit("” „x‟ ‘’ it’s"))), "replace(translate('“' || substr(text, 1, 40) || '” „x‟ ‘’ it’s', '“”„‟‘’‚‛', '«»«»'''''''''), '''''', '\"')")
 one("punctuation_ligatures", "documents", "doc_id", lambda: whitespace.ligatures(F.concat(F.substring("text", 1, 30), F.lit("⁈ ⁉ ‼ ⁇"))), "substr(text, 1, 30) || '?! !? !! ??'")
-one("plus_spoken", "documents", "doc_id", lambda: whitespace.plus_spoken(T), r"regexp_replace(text, '[ \t]*\+[ \t]*', ' плюс ', 'g')")
-one("transliterate_latin", "documents", "doc_id", lambda: letters.transliterated(T), "translate(" + "replace(" * 16 + "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" + "".join(f", '{a}', '{b}')" for a, b in (*letters.DIGRAPHS, *letters.DOUBLE)) + f", '{letters.SINGLE[0]}', '{letters.SINGLE[1]}')")
+one("plus_spoken", "documents", "doc_id", lambda: whitespace.plus_spoken(F.col("text")), r"regexp_replace(text, '[ \t]*\+[ \t]*', ' плюс ', 'g')")
+one("transliterate_latin", "documents", "doc_id", lambda: letters.transliterated(F.col("text")), "translate(" + "replace(" * 16 + "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" + "".join(f", '{a}', '{b}')" for a, b in (*letters.DIGRAPHS, *letters.DOUBLE)) + f", '{letters.SINGLE[0]}', '{letters.SINGLE[1]}')")
 one("strip_footnote_markers", "orders", "o_orderkey", lambda: whitespace.without_notes(F.concat(F.lit("Слово["), (F.col("o_orderkey") % 1500).cast("string"), F.lit("] и { 12 } конец"))), r"regexp_replace('Слово[' || (o_orderkey % 1500) || '] и { 12 } конец', '[\[{]\s*\d{1,3}\s*[\]}]', '', 'g')")
 one("superscript_digits", "orders", "o_orderkey", lambda: whitespace.superscripts(F.concat(F.lit("м"), F.translate((F.col("o_orderkey") % 1000).cast("string"), "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"))), "'м ' || (o_orderkey % 1000)")
 FOLIO = "'a' || chr(10) || ' - ' || (o_orderkey % 20000) || ' — ' || chr(10) || 'b' || chr(10) || (o_orderkey % 7)"
@@ -114,17 +112,17 @@ one("join_hyphens", "orders", "o_orderkey", lambda: whitespace.joined_hyphens(F.
 MIXED = ["pека", "cад", "дом", "pock", "Mосква", "x1ц"]
 FIXED = ["река", "сад", "дом", "pock", "Москва", "х1ц"]
 one("homoglyph_repair", "orders", "o_orderkey", lambda: whitespace.homoglyphs(F.concat(pick(MIXED, "o_orderkey", 1), F.lit(" и "), pick(MIXED, "o_orderkey", 7))), f"{picked(FIXED, 'o_orderkey', 1)} || ' и ' || {picked(FIXED, 'o_orderkey', 7)}")
-one("prosody_sanitize", "documents", "doc_id", lambda: sentences.prosody(T), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '[‐‑‒–—―⁃−]', ', ', 'g'), '…', '. '), '[*]+', ' ', 'g'), '\s+', ' ', 'g'), '(?:,\s*){2,}', ', ', 'g'), '\s+([,.!?:;])', '\1', 'g'), '^[\s,.:;!?]+', ''), '^\s+|\s+$', '', 'g')")
+one("prosody_sanitize", "documents", "doc_id", lambda: sentences.prosody(F.col("text")), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '[‐‑‒–—―⁃−]', ', ', 'g'), '…', '. '), '[*]+', ' ', 'g'), '\s+', ' ', 'g'), '(?:,\s*){2,}', ', ', 'g'), '\s+([,.!?:;])', '\1', 'g'), '^[\s,.:;!?]+', ''), '^\s+|\s+$', '', 'g')")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz,.!?:; "
-one("symbol_filter", "documents", "doc_id", lambda: sentences.within_symbols(T, SYMBOLS), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[—―‒−]', '–', 'g'), '[^a-zA-Z,.!?:; –]', ' ', 'g'), '\s+', ' ', 'g'), '\s+([,.!?:;])', '\1', 'g'), '([,.!?:;])(?:\s*[,.!?:;])+', '\1', 'g'), '^[\s,.:;!?–-]+', ''), '^\s+|\s+$', '', 'g')")
-one("speakable_filter", "documents", "doc_id", lambda: sentences.has_speakable(F.regexp_replace(T, "[a-zA-Z]", "")), r"regexp_matches(regexp_replace(text, '[a-zA-Z]', '', 'g'), '[\p{L}\p{N}]')")
+one("symbol_filter", "documents", "doc_id", lambda: sentences.within_symbols(F.col("text"), SYMBOLS), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[—―‒−]', '–', 'g'), '[^a-zA-Z,.!?:; –]', ' ', 'g'), '\s+', ' ', 'g'), '\s+([,.!?:;])', '\1', 'g'), '([,.!?:;])(?:\s*[,.!?:;])+', '\1', 'g'), '^[\s,.:;!?–-]+', ''), '^\s+|\s+$', '', 'g')")
+one("speakable_filter", "documents", "doc_id", lambda: sentences.has_speakable(F.regexp_replace(F.col("text"), "[a-zA-Z]", "")), r"regexp_matches(regexp_replace(text, '[a-zA-Z]', '', 'g'), '[\p{L}\p{N}]')")
 one("metadata_text", "documents", "doc_id", lambda: letters.metadata_text(F.substring("text", 1, 90)), r"nullif(trim(regexp_replace(substr(text, 1, 90), '\s+', ' ', 'g')), '')")
-one("first_line_title", "documents", "doc_id", lambda: F.concat_ws("|", F.coalesce(chapters.first_line_title(T)["title"], F.lit("-")), F.length(chapters.first_line_title(T)["body"]).cast("string")), r"""CASE WHEN length(regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '')) <= 80 THEN regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '') ELSE '-' END || '|' ||
+one("first_line_title", "documents", "doc_id", lambda: F.concat_ws("|", F.coalesce(chapters.first_line_title(F.col("text"))["title"], F.lit("-")), F.length(chapters.first_line_title(F.col("text"))["body"]).cast("string")), r"""CASE WHEN length(regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '')) <= 80 THEN regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '') ELSE '-' END || '|' ||
   CASE WHEN length(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1]) <= 80 AND instr(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) > 0
   THEN length(regexp_replace(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), length(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1]) + 1), '^\s+|\s+$', '', 'g')) ELSE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) END""")
 one("letter_ratio_score", "documents", "doc_id", lambda: F.round(letters.cyrillic_ratio(F.concat("text", F.lit("Привет"))), 6), r"round(CAST(length(regexp_replace(text || 'Привет', '[^\p{Cyrillic}]', '', 'g')) AS DOUBLE) / length(regexp_replace(text || 'Привет', '[^\p{L}]', '', 'g')), 6)")
 one("content_fingerprint", "documents", "doc_id", lambda: identity.fingerprint(F.encode("text", "UTF-8")), "sha256(text)")
-one("clip_text", "documents", "doc_id", lambda: letters.clipped(T, 1000), "CASE WHEN length(text) > 1000 THEN substr(text, 1, 999) || '…' ELSE text END")
+one("clip_text", "documents", "doc_id", lambda: letters.clipped(F.col("text"), 1000), "CASE WHEN length(text) > 1000 THEN substr(text, 1, 999) || '…' ELSE text END")
 one("escape_meta", "documents", "doc_id", lambda: letters.meta_escaped(F.concat(F.substring("text", 1, 60), F.lit("\r\n= a;b#c\\ "))), r"regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60) || chr(13) || chr(10) || '= a;b#c\ ', '([\\=;#])', '\\\1', 'g'), '\r\n|[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')")
 one("html_to_text", "pages", "page_id", lambda: rx.strip(rx.sub(text.strip_html("html"), r"\s+", " ")), r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
   '(?i)</?(address|article|blockquote|dd|div|dl|dt|h1|h2|h3|h4|h5|h6|header|li|main|ol|p|pre|section|table|td|th|tr|ul|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))""")
