@@ -82,20 +82,24 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
 
     The texts are shuffled once, by doc_id; beginnings (a third of a text) and sketches of k hashes once more.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # k and z stand for doc_id, with null equal to null; all joins and groups are on them and all read the same columns, so
+    # that one shuffle of the texts serves both sides
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("z"))
+    doc_id = F.when(~F.col("z"), F.col("k")).alias("doc_id")
+    docs = docs.select(*key, F.coalesce("text", F.lit("")).alias("text"))
     third = F.floor(F.length("text") / 3).cast("int")
-    ids = stage(docs.groupBy("doc_id").agg(F.max(third).alias("need")), "ids")
+    ids = stage(docs.groupBy("k", "z").agg(F.max(third).alias("need")).select(doc_id, "need"), "ids")
     needs = ids.select(F.col("doc_id").alias("p"), "need")
-    nodes = before(ids)
-    nodes = stage(nodes.join(needs, F.col("prev_id").eqNullSafe(F.col("p"))).select(F.col("doc_id").alias("i"), "prev_id", "need"), "nodes")
-    here = sketched(docs.join(nodes, F.col("doc_id").eqNullSafe(F.col("i"))), "text", "next_sketch", k)
-    heads = here.select("prev_id", F.substring("text", F.lit(1), F.col("need")).alias("head"), "next_sketch")
-    heads = heads.groupBy("prev_id").agg(F.min(F.struct("head", "next_sketch")).alias("next"))
-    out = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("prev_id"))).withColumn("n_chars", F.length("text").cast("long"))
+    nodes = before(ids).join(needs, F.col("prev_id").eqNullSafe(F.col("p")))
+    nodes = stage(nodes.select(*key, F.coalesce("prev_id", F.lit(0)).alias("prev_k"), F.col("prev_id").isNull().alias("prev_z"), "need"), "nodes")
+    here = sketched(docs.join(nodes, ["k", "z"]), "text", "next_sketch", k)
+    heads = here.select(F.col("prev_k").alias("k"), F.col("prev_z").alias("z"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "next_sketch")
+    heads = heads.groupBy("k", "z").agg(F.min(F.struct("head", "next_sketch")).alias("next"))
+    out = docs.join(heads, ["k", "z"]).withColumn("n_chars", F.length("text").cast("long"))
     out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next.head"), F.lit(1), third)))
     out = sketched(sketched(out, "text", "sketch", k), "edited", "edited_sketch", k)
     return out.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("sketch")).alias("fingerprint"), spelled(F.col("edited_sketch")).alias("edited_fingerprint"),
+        doc_id, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("sketch")).alias("fingerprint"), spelled(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next.next_sketch"), k).alias("near_next"),
     )
 
