@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when its measured size is at most this many bytes; beyond it the join shuffles.
 BROADCAST_LIMIT = 32 * 1024 * 1024
 _local: list[str] = []
+_staged: list[str] = []
 
 
 #: Rows and bytes handed to a Python worker at a time: they bound its memory where single texts reach hundreds of kB.
@@ -47,9 +48,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes what this session has staged. For when results are written: they read staged tables until then."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small(df: DataFrame, n_bytes: int) -> DataFrame:
     """df with a broadcast hint if its size, measured by the caller, is within BROADCAST_LIMIT."""
     return F.broadcast(df) if n_bytes <= BROADCAST_LIMIT else df
