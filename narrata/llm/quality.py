@@ -3,7 +3,7 @@
 Random indexing: each word has a fixed sparse index vector (a few +1 and -1 drawn from its hash), and its word vector is
 the sum of the index vectors of the words beside it, over all documents. Words share rows of a table of fixed size by
 hash, so what is gathered and broadcast is bounded (BUCKETS x DIMS) however large the corpus. A document is the mean and
-the deviation of its words' vectors. The network is trained in numpy on at most SAMPLE labelled documents outside the
+the deviation of its words' vectors, and the mean product of neighbours' (repeated words have equal ones). The network is trained in numpy on at most SAMPLE labelled documents outside the
 held-out fold, and its temperature is fitted on a fifth of them.
 
 Defined cases: null or white text pools to zeros and gets the network's score for that; labels with null ids or values, or
@@ -25,6 +25,7 @@ from narrata.llm.common import stage, table
 from narrata.llm.minhash import Words
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+FEATURES = 2 * DIMS + 2
 #: Labelled documents that are used for training, at most; those of the least hashes of doc_id are taken.
 SAMPLE = 20_000
 HIDDEN, STEPS, RATE = 32, 1500, 0.01
@@ -80,16 +81,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray, words: Words) -> np.ndarray:
-    """A row for each text: mean and deviation of its words' vectors, and the logarithm of its number of words."""
+    """A row for each text: mean and deviation of its words' vectors, how alike neighbours are, and the logarithm of its length."""
     h, n = word_hashes(texts, words)
-    out = np.zeros((len(n), 2 * DIMS + 1))
+    out = np.zeros((len(n), FEATURES))
     if len(h):
         full = n > 0
         at = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
         v = vectors[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
         mean = np.add.reduceat(v, at, dtype=np.float64) / n[full, None]
         square = np.add.reduceat(v * v, at, dtype=np.float64) / n[full, None]
-        out[full] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n[full, None])])
+        beside = np.zeros(len(h))
+        beside[:-1] = np.einsum("ij,ij->i", v[:-1], v[1:])
+        beside[np.cumsum(n)[full] - 1] = 0  # a text's last word has none after it
+        alike = np.add.reduceat(beside, at) / np.maximum(n[full] - 1, 1)
+        out[full] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), alike[:, None], np.log1p(n[full, None])])
     return out
 
 
@@ -160,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("m")).where("quality = m")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("quality").cast("int").alias("quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(stage(known, "labelled")), "doc_id").select("quality", "text").mapInArrow(partial(_features, vectors=shared), "quality int, x array<double>").collect()
-    x, y = np.array([r.x for r in rows]).reshape(len(rows), 2 * DIMS + 1), np.array([r.quality for r in rows])
+    x, y = np.array([r.x for r in rows]).reshape(len(rows), FEATURES), np.array([r.quality for r in rows])
     order = np.lexsort((*x.T, y))  # rows come in any order
     return spark.sparkContext.broadcast((vectors, trained(x[order], y[order])))
 
