@@ -108,7 +108,7 @@ def disclosed(spans: DataFrame, docs: DataFrame) -> DataFrame:
     if not n_terms:
         return pairs.select("kind", "v", "term", F.lit(0.0).alias("share")).where("false")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = words.join(small(terms, 64 * n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    known = words.groupBy("term").agg(F.count("*").alias("n_t")).join(small(terms, 64 * n_terms), "term")
     n = docs.count()
     both = F.least("n_et", "n_t", "n_e")
     share = F.log(both * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
@@ -135,17 +135,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     columns = docs.columns
     kept = docs.withColumn("_pii_key", text_key())
-    spans = found_spans(docs).select("key", "base", "added").dropDuplicates(["key"]).where((F.size("base") > 0) | (F.size("added") > 0))
-    out = kept.join(spans, F.col("_pii_key") == F.col("key"), "left")
+    spans = found_spans(docs).dropDuplicates(["key"]).where((F.size("base") > 0) | (F.size("added") > 0))
+    out = kept.join(spans.select(F.col("key").alias("_pii_key"), F.col("base").alias("_pii_base"), F.col("added").alias("_pii_added")), "_pii_key", "left")
+    shape = lambda x: F.regexp_replace(F.regexp_replace(F.substring("text", x["a"] + 1, x["b"] - x["a"]), r"\p{Lu}", "X"), r"[^X]", "x")
     edits = F.sort_array(F.concat(
-        F.transform("base", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.element_at(names, x["kind"] + 1).alias("by"))),
-        F.transform("added", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(x["share"] >= REMOVE, F.lit("[TERM]")).otherwise(F.regexp_replace(F.regexp_replace(F.substring("text", x["a"] + 1, x["b"] - x["a"]), r"\p{Lu}", "X"), r"[^X]", "x")).alias("by"))),
+        F.transform("_pii_base", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.element_at(names, x["kind"] + 1).alias("by"))),
+        F.transform("_pii_added", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(x["share"] >= REMOVE, F.lit("[TERM]")).otherwise(shape(x)).alias("by"))),
     ))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.when(x["a"] < acc["at"], acc).otherwise(F.struct(x["b"].alias("at"), F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["a"] - acc["at"]), x["by"]).alias("out")))
     done = F.aggregate(edits, start, step)
     edited = F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text")))
-    return out.withColumn("text", F.when(F.col("key").isNotNull(), edited).otherwise(F.col("text"))).select(columns)
+    return out.withColumn("text", F.when(F.col("_pii_base").isNotNull(), edited).otherwise(F.col("text"))).select(columns)
 
 
 def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
