@@ -21,13 +21,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of (spark, table) where table(name) reads a table."""
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a file that can't be split into as many parts as there are cores is dealt out, others stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def query(sql: str | None = None, heavy: bool = False):
+    """Registers a function of (spark, table) where table(name) reads a table. heavy: more work on a row than it takes to move it."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tuned(spark)
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return f(spark, (lambda name: spread(read(name))) if heavy else read)
 
         QUERIES[f.__name__] = run
         if sql:
@@ -57,7 +64,7 @@ SENTENCES = rf"""list_transform(list_filter(list_transform({SPLIT}, lambda p: re
 
 
 @query(rf"""WITH s AS (SELECT source, unnest({SENTENCES}) AS s FROM documents)
-SELECT source, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars, max(length(s)) AS longest FROM s GROUP BY source""")
+SELECT source, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars, max(length(s)) AS longest FROM s GROUP BY source""", heavy=True)
 def sentence_counts(spark, t):
     s = t("documents").select("source", F.explode(sentences.sentences(F.col("text"))).alias("s"))
     return s.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), F.max(F.length("s")).cast("long").alias("longest"))
@@ -68,14 +75,14 @@ PACK = """list_reduce(list_transform(ps, lambda p: {'k': 0::BIGINT, 'l': length(
 
 
 @query(rf"""WITH s AS (SELECT source, doc_id, list_filter({SENTENCES}, lambda p: length(p) <= 1000) AS ps FROM documents), p AS (SELECT source, {PACK} AS f FROM s WHERE len(ps) > 0)
-SELECT source, CAST(sum(f.k) AS BIGINT) AS chunks, CAST(max(greatest(f.m, f.l - 1)) AS BIGINT) AS longest FROM p GROUP BY source""")
+SELECT source, CAST(sum(f.k) AS BIGINT) AS chunks, CAST(max(greatest(f.m, f.l - 1)) AS BIGINT) AS longest FROM p GROUP BY source""", heavy=True)
 def chunk_plan_sizes(spark, t):
     pieces = F.filter(sentences.sentences(F.col("text")), lambda p: F.length(p) <= 1000)
     chunks = t("documents").select("source", "doc_id", pieces.alias("ps")).select("source", "doc_id", F.explode(sentences.packed(F.col("ps"))).alias("c"))
     return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.max(F.length("c")).cast("long").alias("longest"))
 
 
-@query()
+@query(heavy=True)
 def chunk_plan(spark, t):
     """The whole plan of every document, chapters and titles included."""
     return sentences.build_plan(chapters.chapter_rows(t("documents")))
@@ -83,7 +90,7 @@ def chunk_plan(spark, t):
 
 @query(r"""WITH w AS (SELECT doc_id, [p_ for p_ in string_split(text, ' ') if length(p_) <= 200] AS ps FROM documents),
 f AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'k': 0::BIGINT, 'l': length(p)}), lambda acc, e: CASE WHEN acc.l = 0 OR acc.l + e.l + 1 <= 200 THEN {'k': acc.k, 'l': acc.l + e.l + 1} ELSE {'k': acc.k + 1, 'l': e.l + 1} END, {'k': 1::BIGINT, 'l': 0::BIGINT}) AS f FROM w WHERE len(ps) > 0)
-SELECT d.doc_id, CAST(CASE WHEN length(array_to_string(w.ps, ' ')) <= 200 THEN 1 ELSE f.f.k END AS BIGINT) AS pieces FROM documents d JOIN w USING (doc_id) JOIN f USING (doc_id)""")
+SELECT d.doc_id, CAST(CASE WHEN length(array_to_string(w.ps, ' ')) <= 200 THEN 1 ELSE f.f.k END AS BIGINT) AS pieces FROM documents d JOIN w USING (doc_id) JOIN f USING (doc_id)""", heavy=True)
 def chunk_hard_split(spark, t):
     short = F.array_join(F.filter(F.split("text", " ", -1), lambda w: F.length(w) <= 200), " ")
     return t("documents").select("doc_id", F.size(sentences.hard_split(short, 200)).cast("long").alias("pieces"))
@@ -124,8 +131,8 @@ one("letter_ratio_score", "documents", "doc_id", lambda: F.round(letters.cyrilli
 one("content_fingerprint", "documents", "doc_id", lambda: identity.fingerprint(F.encode("text", "UTF-8")), "sha256(text)")
 one("clip_text", "documents", "doc_id", lambda: letters.clipped(F.col("text"), 1000), "CASE WHEN length(text) > 1000 THEN substr(text, 1, 999) || '…' ELSE text END")
 one("escape_meta", "documents", "doc_id", lambda: letters.meta_escaped(F.concat(F.substring("text", 1, 60), F.lit("\r\n= a;b#c\\ "))), r"regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60) || chr(13) || chr(10) || '= a;b#c\ ', '([\\=;#])', '\\\1', 'g'), '\r\n|[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')")
-one("html_to_text", "pages", "page_id", lambda: rx.strip(rx.sub(text.strip_html("html"), r"\s+", " ")), r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
-  '(?i)</?(address|article|blockquote|dd|div|dl|dt|h1|h2|h3|h4|h5|h6|header|li|main|ol|p|pre|section|table|td|th|tr|ul|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))""")
+one("html_to_text", "pages", "page_id", lambda: rx.strip(rx.sub(text.strip_html("html"), r"\s+", " ")), r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+  '(?i)</?(address|article|blockquote|dd|div|dl|dt|h1|h2|h3|h4|h5|h6|header|li|main|ol|p|pre|section|table|td|th|tr|ul|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))""")
 one("safe_filename", "part", "p_partkey", lambda: letters.safe_filename(F.concat(F.lit(" ."), "p_name", F.lit("/: ..x"), "p_type", F.lit("? "))), r"""rtrim(substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(' .' || p_name || '/: ..x' || p_type || '? ', '[\\/:*?"<>|]', ' ', 'g'), '\s+', ' ', 'g')), '\.+', '.', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 120), '. ')""")
 one("library_path", "part", "p_partkey", lambda: sinks.library_path(F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.lit("Цикл")), F.lpad((F.col("p_partkey") % 40).cast("string"), 2, "0"), F.lit("s.fb2"), F.sha2("p_name", 256), F.col("p_partkey")), "CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE 'Неизвестный автор' END || '/' || CASE WHEN p_partkey % 2 = 0 THEN 'Цикл/' || lpad(CAST(p_partkey % 40 AS VARCHAR), 2, '0') || ' - ' ELSE '' END || p_name || ' [' || substr(sha256(p_name), 1, 12) || '-' || p_partkey || ']'")
 one("output_name", "part", "p_partkey", lambda: sinks.output_name(F.concat("p_name", F.lit(" .")), (F.col("p_size") % 12 + 1).cast("int"), F.col("p_size") % 3), "p_name || CASE WHEN p_size % 3 > 1 THEN '_part_' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') ELSE '' END || '.m4b'")
@@ -173,26 +180,26 @@ def year_sql() -> str:
     return f"WITH {ru.WORDS_SQL}, t AS (SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders) SELECT o_orderkey, CASE o_orderkey % 5 {' '.join(cases)} END AS out FROM t, w"
 
 
-@query(year_sql())
+@query(year_sql(), heavy=True)
 def year_rules(spark, t):
     y = F.year("o_orderdate").cast("string")
     texts = F.array(*(F.concat(*(y if p == "{y}" else F.lit(p) for p in (a.partition("{y}")))) for a, _ in YEAR_TEXT.values()))
     return t("orders").select("o_orderkey", speech.spoken_text(F.element_at(texts, (F.col("o_orderkey") % 5).cast("int") + 1)).alias("out"))
 
 
-@query(f"WITH {ru.WORDS_SQL}, t AS (SELECT o_orderkey, CAST(day(o_orderdate) AS BIGINT) AS d, month(o_orderdate) AS mon, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders) SELECT o_orderkey, {ru.inflected(ru.ordinal('d', ru.Sql), 'го', ru.Sql)} || ' ' || [{', '.join(repr(m) for m in ru.MONTHS)}][mon] || ' ' || {ru.inflected(ru.ordinal('y', ru.Sql), 'го', ru.Sql)} || ' года' AS out FROM t, w")
+@query(f"WITH {ru.WORDS_SQL}, t AS (SELECT o_orderkey, CAST(day(o_orderdate) AS BIGINT) AS d, month(o_orderdate) AS mon, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders) SELECT o_orderkey, {ru.inflected(ru.ordinal('d', ru.Sql), 'го', ru.Sql)} || ' ' || [{', '.join(repr(m) for m in ru.MONTHS)}][mon] || ' ' || {ru.inflected(ru.ordinal('y', ru.Sql), 'го', ru.Sql)} || ' года' AS out FROM t, w", heavy=True)
 def date_words(spark, t):
     return t("orders").select("o_orderkey", speech.spoken_text(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("out"))
 
 
-@query(f"WITH {ru.WORDS_SQL}, t AS (SELECT c_custkey, CAST(floor(abs(c_acctbal)) AS BIGINT) AS a, CAST(round(abs(c_acctbal) * 100) AS BIGINT) % 100 AS b FROM customer) SELECT c_custkey, {ru.cardinal('a', ru.Sql)} || ' целых ' || {ru.cardinal('b', ru.Sql)} || ' сотых' AS out FROM t, w")
+@query(f"WITH {ru.WORDS_SQL}, t AS (SELECT c_custkey, CAST(floor(abs(c_acctbal)) AS BIGINT) AS a, CAST(round(abs(c_acctbal) * 100) AS BIGINT) % 100 AS b FROM customer) SELECT c_custkey, {ru.cardinal('a', ru.Sql)} || ' целых ' || {ru.cardinal('b', ru.Sql)} || ' сотых' AS out FROM t, w", heavy=True)
 def decimal_words(spark, t):
     cents = F.round(F.abs("c_acctbal") * 100).cast("long")
     said = F.concat(F.floor(F.abs("c_acctbal")).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
     return t("customer").select("c_custkey", speech.spoken_text(said).alias("out"))
 
 
-@query(f"WITH {ru.WORDS_SQL}, t AS (SELECT o_orderkey, CAST(o_orderkey % 900 + 1 AS BIGINT) AS a, CAST(o_custkey % 1000 AS BIGINT) AS b, CAST((o_orderkey % 900 + 1) * 1000 + o_custkey % 1000 AS BIGINT) AS n FROM orders) SELECT o_orderkey, {ru.cardinal('n', ru.Sql)} AS out FROM t, w")
+@query(f"WITH {ru.WORDS_SQL}, t AS (SELECT o_orderkey, CAST(o_orderkey % 900 + 1 AS BIGINT) AS a, CAST(o_custkey % 1000 AS BIGINT) AS b, CAST((o_orderkey % 900 + 1) * 1000 + o_custkey % 1000 AS BIGINT) AS n FROM orders) SELECT o_orderkey, {ru.cardinal('n', ru.Sql)} AS out FROM t, w", heavy=True)
 def thousands_merge(spark, t):
     said = F.concat((F.col("o_orderkey") % 900 + 1).cast("string"), F.lit(" "), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"))
     return t("orders").select("o_orderkey", speech.spoken_text(said).alias("out"))
@@ -213,13 +220,13 @@ ABBREVIATED = [("и т. д. Он", "и так далее. Он"), ("и т. п. 
 ABBREVIATED[6] = ("пер. Труда, обл. 2", "переулок Труда, область два")
 
 
-@query("SELECT o_orderkey, [" + ", ".join("'" + b.replace("'", "''") + "'" for _, b in ABBREVIATED) + f"][o_orderkey % {len(ABBREVIATED)} + 1] AS out FROM orders")
+@query("SELECT o_orderkey, [" + ", ".join("'" + b.replace("'", "''") + "'" for _, b in ABBREVIATED) + f"][o_orderkey % {len(ABBREVIATED)} + 1] AS out FROM orders", heavy=True)
 def abbreviations(spark, t):
     said = F.element_at(F.array(*(F.lit(a) for a, _ in ABBREVIATED)), (F.col("o_orderkey") % len(ABBREVIATED)).cast("int") + 1)
     return t("orders").select("o_orderkey", speech.spoken_text(said).alias("out"))
 
 
-@query()
+@query(heavy=True)
 def clean_text_full(spark, t):
     """The whole clean-up over every document, with Russian carriers before the text."""
     said = F.concat(F.lit("В 1905 г. он купил 5 кг и т. д.\nГлава XIV. "), F.col("text"))
@@ -231,7 +238,7 @@ def clean_text_full(spark, t):
 
 @query(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN [NULL, 'Часть первая. Глава 1', 'Глава 2'] WHEN o_orderkey % 4 = 1 THEN ['Chapter 1 Start', 'Эпилог'] WHEN o_orderkey % 4 = 2 THEN [NULL] ELSE ['Глава III', 'глава двадцать третья'] END[CAST(c AS INT)] AS title, CAST(c - 1 AS INT) AS chapter_index,
 CASE WHEN o_orderkey % 4 = 0 THEN ['Начало', 'Текст ' || o_orderkey, 'Ещё'] WHEN o_orderkey % 4 = 1 THEN ['a ' || o_orderkey, 'b'] WHEN o_orderkey % 4 = 2 THEN ['Глава семьи вошёл в дом ' || o_orderkey] ELSE ['x', 'y ' || o_orderkey] END[CAST(c AS INT)] AS text
-FROM (SELECT o_orderkey, unnest(generate_series(1, [3, 2, 1, 2][o_orderkey % 4 + 1])) AS c FROM orders)""")
+FROM (SELECT o_orderkey, unnest(generate_series(1, [3, 2, 1, 2][o_orderkey % 4 + 1])) AS c FROM orders)""", heavy=True)
 def chapter_split(spark, t):
     n = F.col("o_orderkey").cast("string")
     books = F.array(F.concat(F.lit("Начало\nЧасть первая\n\nГлава 1\nТекст "), n, F.lit("\nГлава 2\nЕщё\n")), F.concat(F.lit("Chapter 1 Start\r\na "), n, F.lit("\r\nЭпилог\r\nb")), F.concat(F.lit("Глава семьи вошёл в дом "), n), F.concat(F.lit("Глава III\nx\nглава двадцать третья\ny "), n))
@@ -541,7 +548,7 @@ def decode_code_pages(spark, t):
     return t("documents").select("doc_id", text.decoded(content).alias("out"))
 
 
-@query("SELECT o_orderkey, 'Однажды ' || o_orderkey || ' весною, в час небывало жаркого заката, в Москве' AS out FROM orders")
+@query("SELECT o_orderkey, 'Однажды ' || o_orderkey || ' весною, в час небывало жаркого заката, в Москве' AS out FROM orders", heavy=True)
 def decode_legacy_pages(spark, t):
     said = F.concat(F.lit("Однажды "), F.col("o_orderkey").cast("string"), F.lit(" весною, в час небывало жаркого заката, в Москве"))
     which = F.col("o_orderkey") % 4
