@@ -38,9 +38,11 @@ def joined_hyphens(x: Column) -> Column:
         rf"\b({fold}кое))-[ \t]*\n\s*([а-яёa-z]\w*)",
         rf"\b({fold}{'|'.join(HEADS)}))-[ \t]*\n\s*({fold}{'|'.join(TAILS)}))(?!\w)",
     )
+    joined = x
     for p in kept:
-        x = F.regexp_replace(x, rx.U + p, f"$1{MARK}$2")
-    return F.replace(F.regexp_replace(x, rx.U + head + tail, "$1$2"), F.lit(MARK), F.lit("-"))
+        joined = F.regexp_replace(joined, rx.U + p, f"$1{MARK}$2")
+    joined = F.replace(F.regexp_replace(joined, rx.U + head + tail, "$1$2"), F.lit(MARK), F.lit("-"))
+    return F.when(x.rlike(r"[а-яёА-ЯЁ]-[ \t]*\n"), joined).otherwise(x)
 
 
 def whitespace_normalized(x: Column) -> Column:
@@ -87,7 +89,8 @@ def reflowed(x: Column) -> Column:
 
 def homoglyphs(x: Column) -> Column:
     """Latin look-alikes in words that also have Cyrillic letters."""
-    return rx.sub_with(x, r"\b(?=\w*[А-Яа-яЁё])(?=\w*[A-Za-z])\w+\b", lambda w: F.translate(w, *HOMOGLYPHS))
+    mixed = rx.sub_with(x, r"\b(?=\w*[А-Яа-яЁё])(?=\w*[A-Za-z])\w+\b", lambda w: F.translate(w, *HOMOGLYPHS))
+    return F.when(x.rlike("[А-Яа-яЁё]"), mixed).otherwise(x)
 
 
 def plus_spoken(x: Column) -> Column:

@@ -16,10 +16,10 @@ CHUNK, FLOOR, SPARE = 800, 200, 200
 
 def protected(x: Column) -> Column:
     """Periods of initials and of known abbreviations become MARK."""
-    x = F.regexp_replace(x, r"(?<![А-ЯЁA-Z])([А-ЯЁA-Z])\.", "$1" + MARK)
+    x = first = F.regexp_replace(x, r"(?<![А-ЯЁA-Z])([А-ЯЁA-Z])\.", "$1" + MARK)
     for a in PROTECTED:
         x = F.regexp_replace(x, rf"(?iuU)\b{a}\.(?!\s+[А-ЯЁA-Z])", a + MARK)
-    return x
+    return F.when(first.rlike(r"\p{IsCyrillic}\."), x).otherwise(first)
 
 
 def sentences(x: Column) -> Column:
