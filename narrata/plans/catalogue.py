@@ -137,7 +137,7 @@ one("safe_filename", "part", "p_partkey", lambda: letters.safe_filename(F.concat
 one("library_path", "part", "p_partkey", lambda: sinks.library_path(F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, F.lit("Цикл")), F.lpad((F.col("p_partkey") % 40).cast("string"), 2, "0"), F.lit("s.fb2"), F.sha2("p_name", 256), F.col("p_partkey")), "CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE 'Неизвестный автор' END || '/' || CASE WHEN p_partkey % 2 = 0 THEN 'Цикл/' || lpad(CAST(p_partkey % 40 AS VARCHAR), 2, '0') || ' - ' ELSE '' END || p_name || ' [' || substr(sha256(p_name), 1, 12) || '-' || p_partkey || ']'")
 one("output_name", "part", "p_partkey", lambda: sinks.output_name(F.concat("p_name", F.lit(" .")), (F.col("p_size") % 12 + 1).cast("int"), F.col("p_size") % 3), "p_name || CASE WHEN p_size % 3 > 1 THEN '_part_' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') ELSE '' END || '.m4b'")
 one("bitrate_parse", "part", "p_partkey", lambda: F.coalesce(letters.bitrate(F.element_at(F.array(F.concat(F.col("p_size").cast("string"), F.lit("k")), F.concat(F.col("p_size").cast("string"), F.lit(".5M ")), (F.col("p_size") * 1000).cast("string"), F.lit("fast")), (F.col("p_partkey") % 4).cast("int") + 1)), F.lit(-1)), "CASE p_partkey % 4 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * 1000000 + 500000 WHEN 2 THEN p_size * 1000 ELSE -1 END::BIGINT")
-one("package_file", "part", "p_partkey", lambda: sinks.package_file(F.col("p_name"), F.lit("A & B"), F.col("p_brand"), F.col("p_size").cast("string"), F.lit("x.txt"), "xenia"), """'<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || '<opf:package xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf" version="2.0"><opf:metadata><dc:title>' || p_name || '</dc:title><dc:creator>A &amp; B</dc:creator><dc:language>ru</dc:language><dc:creator opf:role="nrt">Silero xenia</dc:creator><opf:meta name="calibre:series" content="' || p_brand || '" /><opf:meta name="calibre:series_index" content="' || p_size || '" /></opf:metadata></opf:package>'""")
+one("package_file", "part", "p_partkey", lambda: sinks.package_file(F.col("p_name"), F.lit("A & B"), F.col("p_brand"), F.col("p_size").cast("string"), F.lit("x.txt"), "Silero xenia"), """'<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || '<opf:package xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf" version="2.0"><opf:metadata><dc:title>' || p_name || '</dc:title><dc:creator>A &amp; B</dc:creator><dc:language>ru</dc:language><dc:creator opf:role="nrt">Silero xenia</dc:creator><opf:meta name="calibre:series" content="' || p_brand || '" /><opf:meta name="calibre:series_index" content="' || p_size || '" /></opf:metadata></opf:package>'""")
 one("caption_fields", "part", "p_partkey", lambda: F.concat_ws("|", *(F.coalesce(F.element_at(text.caption_fields(F.concat(F.lit(" автор : x\nАвтор: "), "p_brand", F.lit("\nНазвание:"), "p_name", F.lit("\nЖанр: y\nСерия: "))), k), F.lit("-")) for k in ("author", "title", "series"))), "p_brand || '|' || p_name || '|-'")
 one("member_path_safe", "part", "p_partkey", lambda: identity.member_path_safe(pick(["../x.jpg", "a/../b.png", "/etc/x", "http://h/x", "a\\..\\..\\x", "c/d.xhtml"], "p_partkey", 1)), "[false, true, false, false, false, true][p_partkey % 6 + 1]")
 

@@ -54,14 +54,14 @@ def escaped(x: Column) -> Column:
     return x
 
 
-def package_file(title: Column, author: Column, series: Column, index: Column, source: Column, speaker: str) -> Column:
+def package_file(title: Column, author: Column, series: Column, index: Column, source: Column, narrator: str) -> Column:
     """The metadata file of a published item, as XML."""
     quoted = lambda x: F.replace(escaped(x), F.lit('"'), F.lit("&quot;"))
     meta = lambda name, x: F.when(given(series).isNotNull() & given(x).isNotNull(), F.concat(F.lit(f'<opf:meta name="calibre:{name}" content="'), quoted(x), F.lit('" />')))
     return F.concat_ws(
         "", F.lit("<?xml version='1.0' encoding='utf-8'?>\n<opf:package xmlns:dc=\"http://purl.org/dc/elements/1.1/\" xmlns:opf=\"http://www.idpf.org/2007/opf\" version=\"2.0\"><opf:metadata><dc:title>"),
         escaped(F.coalesce(given(title), stem(source))), F.lit("</dc:title><dc:creator>"), escaped(F.coalesce(given(author), F.lit(UNKNOWN_AUTHOR))),
-        F.lit(f'</dc:creator><dc:language>ru</dc:language><dc:creator opf:role="nrt">Silero {speaker}</dc:creator>'), meta("series", series), meta("series_index", index), F.lit("</opf:metadata></opf:package>"),
+        F.lit(f'</dc:creator><dc:language>ru</dc:language><dc:creator opf:role="nrt">{narrator}</dc:creator>'), meta("series", series), meta("series_index", index), F.lit("</opf:metadata></opf:package>"),
     )
 
 
