@@ -19,13 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.common import stage, table
+from narrata.llm.common import small, stage, table
 
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 MOST = 3
 PARTS = 10
-OWN = ("_mix_size", "_mix_source", "_mix_tie", "_mix_part", "_mix_pos", "_mix_source_size", "_mix_target", "_mix_copies")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +76,8 @@ def mix(docs: DataFrame, source: str = "source", seed: int = 0, **how) -> DataFr
     goals = goals.withColumn("used", F.col("whole").isNotNull()).withColumn("each", F.coalesce(missing(F.col("whole")), F.col("rate")))
     parts = parts.join(goals.select(F.col("_mix_source").alias("g"), "_mix_source_size", "_mix_target", "used", "each", "whole"), same("_mix_source", "g"))
     parts = parts.select(F.col("_mix_part").alias("p"), F.col("_mix_source").alias("s"), "_mix_before", "_mix_source_size", "_mix_target", "used", "each", "whole")
-    out = placed.join(parts.select("p", F.struct(*parts.columns[1:]).alias("_mix_in")), (F.col("_mix_part") == F.col("p")) & F.col("_mix_source").eqNullSafe(F.col("_mix_in.s")))
+    parts = stage(parts.select("p", F.struct(*parts.columns[1:]).alias("_mix_in")), "mix-parts")
+    out = placed.join(small(parts, 128 * parts.count()), (F.col("_mix_part") == F.col("p")) & F.col("_mix_source").eqNullSafe(F.col("_mix_in.s")))
     drawn = F.md5(F.concat(F.coalesce(F.concat(F.lit("s"), "_mix_source"), F.lit("n")), F.lit(f"/{seed}")))
     offset = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / float(1 << 32)
     rank = (F.col("_mix_in._mix_before") + F.col("_mix_pos")).cast("double")
@@ -89,11 +89,25 @@ def mix(docs: DataFrame, source: str = "source", seed: int = 0, **how) -> DataFr
     return out.drop("p", "_mix_in", "_mix_part", "_mix_pos", "_mix_tie", "_mix_source")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row as often as the mix takes it."""
+def mixed_documents(docs: DataFrame, source: str = "source", **how) -> DataFrame:
+    """docs with every row as often as the mix takes it.
+
+    Only ids and sizes are put in order. Their copies come back to the rows by a key over all columns, broadcast while they
+    are small, so the texts are read twice and not shuffled then. Rows that are equal in all columns share a key: they are
+    put out once for each of the copies of all of them.
+    """
     columns = docs.columns
-    out = mix(docs.withColumn("_mix_size", size_of(F.col("text"))), **how)
-    return out.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int")))).select(columns)
+    text, id_ = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    key = F.concat(F.unhex(F.md5(F.concat_ws("\n", id_, F.coalesce(source, F.lit("")), text))), F.unhex(F.lpad(F.hex(F.xxhash64(*columns)), 16, "0")))
+    keyed = docs.withColumn("_mix_key", key)
+    narrow = stage(keyed.select("_mix_key", "doc_id", F.col(source).alias("_mix_from"), size_of(F.col("text")).alias("_mix_size")), "sizes")
+    taken = mix(narrow, "_mix_from", **how).groupBy("_mix_key").agg(F.sum("_mix_copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
+    taken = stage(taken.where("_mix_copies > 0"), "taken")
+    n, most = taken.agg(F.count("*"), F.max("_mix_rows")).head()
+    out = keyed.join(small(taken.where("_mix_rows = 1"), 64 * n), "_mix_key")
+    if (most or 0) > 1:
+        out = out.unionByName(keyed.join(small(taken.where("_mix_rows > 1"), 64 * n), "_mix_key").dropDuplicates(["_mix_key"]))
+    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int")))).select(columns)
 
 
 def op2_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
