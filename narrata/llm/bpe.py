@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.llm.chunking import chunks, digest, plan, with_plan
-from narrata.llm.common import stage, table, text_key
+from narrata.llm.common import lean, stage, table, text_key
 
 HOW = {"bits": 10, "least": 256, "most": 8192, "chars": True}
 #: Pieces kept with their ids in each Python worker; the memory of the codec is bounded by it.
@@ -173,12 +173,12 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     The texts are read twice and not shuffled while the table of shared chunks is small (see common.BROADCAST_LIMIT).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    staged = stage(with_plan(docs, plan(docs, bytes, HOW)).select("doc_id", "key", "text", "chunks").mapInArrow(partial(_encode, path=tokenizer), STAGED), "bpe-pieces")
+    staged = stage(with_plan(docs, plan(docs, bytes, HOW)).select("doc_id", "key", "text", "chunks").mapInArrow(lean(partial(_encode, path=tokenizer)), STAGED), "bpe-pieces")
     columns = [f.split()[0] for f in OUT.split(", ")]
     open_ = staged.where("kind = 1").select("doc_id", "key", "pieces", "need")
     once = staged.where("kind = 2").select("digest", F.col("pieces")[0].alias("piece")).dropDuplicates(["digest"])
     others = open_.select("key", F.explode("need").alias("digest")).distinct().join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "piece")).alias("others"))
-    closed = open_.join(others, "key").select("doc_id", "pieces", "others").mapInArrow(partial(_join, path=tokenizer), OUT)
+    closed = open_.join(others, "key").select("doc_id", "pieces", "others").mapInArrow(lean(partial(_join, path=tokenizer)), OUT)
     return staged.where("kind = 0").select(columns).unionByName(closed)
 
 

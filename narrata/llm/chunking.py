@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import mix64, small, stage
+from narrata.llm.common import lean, mix64, small, stage
 
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 #: The hash at a byte depends on this many bytes up to it.
@@ -86,7 +86,7 @@ def plan(docs: DataFrame, prepare, how: dict) -> tuple[DataFrame, int]:
     docs: key, text. prepare: from a text's bytes to those that are cut. The owner of a digest is the document with the
     least key. Only digests move: about 32 bytes for each chunk, summed by digest before they are joined.
     """
-    each = docs.select("key", "text").mapInArrow(partial(_digests, prepare=prepare, how=how), "key binary, digests array<binary>").select("key", F.explode("digests").alias("digest"))
+    each = docs.select("key", "text").mapInArrow(lean(partial(_digests, prepare=prepare, how=how)), "key binary, digests array<binary>").select("key", F.explode("digests").alias("digest"))
     each = stage(each, "chunk-digests")
     shared = each.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1")
     refs = each.join(shared, "digest").select("key", F.struct("digest", (F.col("key") == F.col("owner")).alias("owned")).alias("chunk"))

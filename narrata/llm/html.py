@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import small, stage, table
+from narrata.llm.common import lean, small, stage, table
 from narrata.llm.urls import host_of
 
 MIN_PAGES, MIN_SHARE, IN_SHARE = 8, 0.1, 0.5
@@ -231,7 +231,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame) -> DataFrame:
     """host, digests: the subtrees that recur on the host's pages. pages: host, html. At most elements / MIN_SHARE a host."""
     counts = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    found = pages.select("host", "html").mapInArrow(_hashes, "host string, digest long, inside boolean").groupBy("host", "digest", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    found = pages.select("host", "html").mapInArrow(lean(_hashes), "host string, digest long, inside boolean").groupBy("host", "digest", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     often = found.join(counts, "host").where(F.col("n") >= F.when(F.col("inside"), IN_SHARE).otherwise(MIN_SHARE) * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set("digest").alias("digests"))
 
@@ -242,7 +242,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     templates = stage(site_templates(pages), "templates")
     size = templates.agg(F.sum(F.size("digests") * 8 + 64)).head()[0] or 0
     joined = pages.join(small(templates, size), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digests")
-    return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(lean(_texts), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

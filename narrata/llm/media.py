@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.llm.chunking import chunks, digest, plan, with_plan
-from narrata.llm.common import stage, table, text_key
+from narrata.llm.common import lean, stage, table, text_key
 
 HOW = {"bits": 11, "least": 512, "most": 16384, "chars": False}
 UNIT = 64
@@ -94,7 +94,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_payloads(docs: DataFrame) -> DataFrame:
     """The stored table of the texts of docs, written as Parquet in the shared folder; see the module's docstring."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
-    return stage(with_plan(docs, plan(docs, payload, HOW)).select("doc_id", "key", "text", "chunks").mapInArrow(_store, STORED), "media")
+    return stage(with_plan(docs, plan(docs, payload, HOW)).select("doc_id", "key", "text", "chunks").mapInArrow(lean(_store), STORED), "media")
 
 
 def read_payloads(stored: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def read_payloads(stored: DataFrame) -> DataFrame:
     others = docs.where(F.size("need") > 0).select("key", F.explode("need").alias("digest")).distinct().join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "stored")).alias("others"))
     alone = docs.where(F.size("need") == 0).select("doc_id", "n_bytes", "listed", "own", F.lit(None).cast("array<struct<digest:binary,stored:binary>>").alias("others"))
     joined = docs.where(F.size("need") > 0).join(others, "key").select("doc_id", "n_bytes", "listed", "own", "others")
-    return alone.mapInArrow(_read, OUT).unionByName(joined.mapInArrow(_read, OUT))
+    return alone.mapInArrow(lean(_read), OUT).unionByName(joined.mapInArrow(lean(_read), OUT))
 
 
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import stage, table
+from narrata.llm.common import lean, stage, table
 from narrata.llm.minhash import Words
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -72,7 +72,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """(BUCKETS, DIMS) unit vectors from the contexts of all words of all documents; at most BUCKETS rows reach the driver."""
     columns = [f"v{i}" for i in range(DIMS)]
-    parts = docs.select("text").mapInArrow(_contexts, "bucket int, " + ", ".join(f"{c} long" for c in columns))
+    parts = docs.select("text").mapInArrow(lean(_contexts), "bucket int, " + ", ".join(f"{c} long" for c in columns))
     rows = parts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).collect()
     out = np.zeros((BUCKETS, DIMS))
     for r in rows:
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     shared = spark.sparkContext.broadcast(vectors)
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("m")).where("quality = m")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(stage(known, "labelled")), "doc_id").select("quality", "text").mapInArrow(partial(_features, vectors=shared), "quality int, x array<double>").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(stage(known, "labelled")), "doc_id").select("quality", "text").mapInArrow(lean(partial(_features, vectors=shared)), "quality int, x array<double>").collect()
     x, y = np.array([r.x for r in rows]).reshape(len(rows), FEATURES), np.array([r.quality for r in rows])
     order = np.lexsort((*x.T, y))  # rows come in any order
     return spark.sparkContext.broadcast((vectors, trained(x[order], y[order])))
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 def score_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """docs with a score from 0 to 1 in _score."""
     model = fit(docs, labels, **how)
-    return docs.mapInArrow(partial(_scored, model=model, column="text"), _with_score(docs))
+    return docs.mapInArrow(lean(partial(_scored, model=model, column="text")), _with_score(docs))
 
 
 def _with_score(docs: DataFrame) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import table
+from narrata.llm.common import lean, table
 
 KINDS = ("assign", "access", "hex", "literal")
 #: One must be in the text, in lower case, for ASSIGN to match.
@@ -147,7 +147,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: counts by kind, a digest of the base spans, and all spans."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, OUT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_scan), OUT)
 
 
 def redacted(text: str) -> str:
@@ -171,7 +171,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with the secrets in text replaced and n_chars (if there) counted anew; no row is dropped."""
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return docs.mapInArrow(_redact, docs.schema)
+    return docs.mapInArrow(lean(_redact), docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
