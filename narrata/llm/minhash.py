@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import mix64, small, stage, table
+from narrata.llm.common import lean, mix64, small, stage, table
 
 BANDS, ROWS = 32, 5
 KEPT_WORDS = 150_000
@@ -36,6 +36,8 @@ KEPT_WORDS = 150_000
 STEP = 120_000
 #: Documents in a block of the later comparisons, and partners of a document that each block proposes at first.
 BLOCK, BEST = 64, 2
+#: Rows of a label table that are written together, so that its many rounds don't leave many small files.
+ROWS_A_FILE = 500_000
 GOLD = 0x9E3779B97F4A7C15
 EMPTY = np.iinfo(np.uint64).max
 
@@ -195,16 +197,17 @@ def _promising(batches: Iterator[pa.RecordBatch], percent: int, best: int | None
 def components(links: DataFrame) -> DataFrame:
     """(doc, label): the least document reachable over links (a, b); by least neighbour and pointer jumping, to a fixpoint."""
     both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    parts = 1 + both.count() // ROWS_A_FILE
     labels = both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("label"))
+    labels = stage(labels.coalesce(parts), "labels")
     while True:
-        labels = stage(labels, "labels")
         near = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("m"))
         hop = labels.join(near, "doc").select("doc", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = hop.join(labels.select(F.col("doc").alias("label"), F.col("label").alias("far")), "label", "left").select("doc", "old", F.least("label", "far").alias("label"))
-        jump = stage(jump, "labels")
-        if jump.where("label <> old").isEmpty():
-            return jump.select("doc", "label")
+        jump = stage(jump.coalesce(parts), "labels")
         labels = jump.select("doc", "label")
+        if jump.where("label <> old").isEmpty():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -214,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     of 32 bands of 5 with probability 3e-6; every pair that shares one is decided on the full sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(docs.mapInArrow(partial(_signed, k=shingle, bands=bands, rows=rows), "doc_id long, n long, same binary, bands array<long>"), "signatures")
+    signed = stage(docs.mapInArrow(lean(partial(_signed, k=shingle, bands=bands, rows=rows)), "doc_id long, n long, same binary, bands array<long>"), "signatures")
     reps = signed.where("n > 0 and doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
     reps = stage(reps.select("same", F.col("r.doc_id").alias("doc"), "r.n", "r.bands"), "classes")
 
@@ -225,12 +228,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     alike = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     ids = stage(members.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
-    sets = stage(docs.join(small(ids, 16 * ids.count()), "doc_id", "left_semi").mapInArrow(partial(_sets, k=shingle), "doc long, shingles binary, short binary").dropDuplicates(["doc"]), "sets")
+    sets = stage(docs.join(small(ids, 16 * ids.count()), "doc_id", "left_semi").mapInArrow(lean(partial(_sets, k=shingle)), "doc long, shingles binary, short binary").dropDuplicates(["doc"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         with_y = with_x.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-        return with_y.select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long")
+        return with_y.select("a", "b", "x", "y").mapInArrow(lean(partial(_verified, percent=percent)), "a long, b long")
 
     pairs = stage(members.where((F.col("doc") != F.col("p")) & alike("n", "pn")).select(*pair("doc", "p")).distinct(), "pairs")
     links = stage(verified(pairs), "links")
@@ -249,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         name = lambda own, block: F.struct(F.coalesce(F.col(own), F.lit(-1)), F.col(own).isNull(), F.col(block))
         other = blocks.select("band", F.col("own").alias("y_own"), F.col("block").alias("y_block"), F.col("x").alias("y"))
         met = blocks.join(other, "band").where((name("own", "block") <= name("y_own", "y_block")) & F.coalesce(F.col("own") != F.col("y_own"), F.lit(True)))
-        met = met.select("band", "x", "y").mapInArrow(partial(_promising, percent=percent, best=best), "a long, b long")
+        met = met.select("band", "x", "y").mapInArrow(lean(partial(_promising, percent=percent, best=best)), "a long, b long")
         more = stage(verified(stage(met.distinct(), "pairs")), "links")
         if not more.isEmpty():
             links = links.union(more)
