@@ -82,6 +82,13 @@ def chunk_plan_sizes(spark, t):
     return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.max(F.length("c")).cast("long").alias("longest"))
 
 
+@query(heavy=True)
+def chunk_plan_sizes_whole(spark, t):
+    """chunk_plan_sizes without its bound: sentences of any length, split hard as in the plan. No SQL states that split."""
+    chunks = t("documents").select("source", F.explode(sentences.packed(sentences.pieces(F.col("text")))).alias("c"))
+    return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.max(F.length("c")).cast("long").alias("longest"))
+
+
 @query(heavy=True)
 def chunk_plan(spark, t):
     """The whole plan of every document, chapters and titles included."""
@@ -96,6 +103,12 @@ def chunk_hard_split(spark, t):
     return t("documents").select("doc_id", F.size(sentences.hard_split(short, 200)).cast("long").alias("pieces"))
 
 
+@query(heavy=True)
+def chunk_hard_split_whole(spark, t):
+    """chunk_hard_split without its bound: words of any length, in slices. No SQL states them."""
+    return t("documents").select("doc_id", F.size(sentences.hard_split(F.col("text"), 200)).cast("long").alias("pieces"))
+
+
 # --- clean-up rules ---------------------------------------------------------------------------------------------------
 
 one("whitespace_normalize", "documents", "doc_id", lambda: whitespace.trailing_blanks(whitespace.newlines(F.concat("text", F.lit("  \r\nx y\rz­ \n")))), r"regexp_replace(replace(replace(replace(replace(text || '  ' || chr(13) || chr(10) || 'x' || chr(160) || 'y' || chr(13) || 'z' || chr(173) || ' ' || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), chr(173), ''), '[ \t]+\n', chr(10), 'g')")
