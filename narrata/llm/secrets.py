@@ -117,13 +117,23 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted({(a, 3, b) for n, terms in bound if reach[n] >= SENSITIVE for t, a, b, quoted in terms if (quoted or t not in names) and literal_score(t, quoted) >= LIKELY})
 
 
+def beyond(s: tuple[int, int, int], base: list[tuple[int, int, int]]) -> bool:
+    """Whether part of a literal lies in no base span. base: sorted."""
+    at = s[0]
+    for a, _, b in base:
+        if a > at:
+            break
+        at = max(at, b)
+    return at < s[2]
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added ones. Added are those that no base span overlaps."""
+    """Base spans and added ones. Added are those that reach beyond the base spans; they may overlap them."""
     lower = text.lower()
     base = base_spans(text, lower)
     added = []
     if ("=" in text or ":" in text or "</" in text) and HINT.search(lower):
-        added = [s for s in literal_spans(text) if not any(a < s[2] and s[0] < b for a, _, b in base)]
+        added = [s for s in literal_spans(text) if beyond(s, base)]
     return base, added
 
 
