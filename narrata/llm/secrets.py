@@ -39,10 +39,9 @@ WEIGHT = {
 }
 SENSITIVE = 0.8
 LIKELY = 0.45
-LONGEST_NAME = 80
-HINT = re.compile(r"pass|pwd|secret|token|key|cred|bearer|auth")
-PAIR = re.compile(rf"""(?<![\w$.-])(["'`]?)([A-Za-z_$][\w$.-]{{0,{LONGEST_NAME}}})\1[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
-ELEMENT = re.compile(rf"<([A-Za-z_][\w.-]{{0,{LONGEST_NAME}}})>([^<>\s]+)</\1>")
+TELLING = {w: x for w, x in WEIGHT.items() if x > 0}
+PAIR = re.compile(r"""(?<![\w$.-])(["'`]?)([A-Za-z_$][\w$.-]*+)\1[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*""")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\s]++)</\1>")
 TERM = re.compile(r"""(?P<quote>["'`])(?P<quoted>(?:[^"'`\\\n]|\\.)*)(?P=quote)|(?P<bare>[^\s"'`,;(){}\[\]<>+]+)""")
 PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.|&)[\x20\t]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -55,6 +54,17 @@ def name_score(name: str) -> float:
     return sum(WEIGHT.get(w, 0.0) for w in dict.fromkeys(found))
 
 
+def may_name(lower: str) -> bool:
+    """Whether the words in a text, in lower case, could make up a sensitive name; if not, there is nothing to parse."""
+    total = 0.0
+    for w, x in TELLING.items():
+        if w in lower:
+            total += x
+            if total > SENSITIVE - 1e-9:
+                return True
+    return False
+
+
 def literal_score(text: str, quoted: bool) -> float:
     """0 to 1: how much a literal looks like a secret rather than a word, a number, a template or a placeholder."""
     if len(text) < 6 or PLACEHOLDER.fullmatch(text) or text[:1] in "$<{%" or "://" in text and "@" not in text:
@@ -132,7 +142,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     lower = text.lower()
     base = base_spans(text, lower)
     added = []
-    if ("=" in text or ":" in text or "</" in text) and HINT.search(lower):
+    if ("=" in text or ":" in text or "</" in text) and may_name(lower):
         added = [s for s in literal_spans(text) if beyond(s, base)]
     return base, added
 
