@@ -116,7 +116,9 @@ one("tidy_spaces", "documents", "doc_id", lambda: whitespace.tidy(F.concat(F.lit
 one("reflow_lines", "documents", "doc_id", lambda: whitespace.reflowed(F.replace("text", F.lit(" a"), F.lit("\na"))), r"""array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(replace(text, ' a', chr(10) || 'a'), '\n\s*\n'), lambda p: list_filter(list_transform(string_split(p, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '')), lambda p: len(p) > 0),
   lambda p: list_reduce(p, lambda a, l: a || CASE WHEN regexp_matches(l, '^[—–-]\s') OR regexp_matches(a, '[.!?…»"”)]$') THEN chr(10) ELSE ' ' END || l)), chr(10) || chr(10))""")
 one("quote_normalize", "documents", "doc_id", lambda: whitespace.quotes(F.concat(F.lit("“"), F.substring("text", 1, 40), F.lit("” „x‟ ‘’ it’s"))), "replace(translate('“' || substr(text, 1, 40) || '” „x‟ ‘’ it’s', '“”„‟‘’‚‛', '«»«»'''''''''), '''''', '\"')")
+one("quote_normalize_whole", "documents", "doc_id", lambda: whitespace.quotes(F.concat(F.lit("“"), "text", F.lit("” „x‟ ‘’ it’s"))), "replace(translate('“' || text || '” „x‟ ‘’ it’s', '“”„‟‘’‚‛', '«»«»'''''''''), '''''', '\"')")
 one("punctuation_ligatures", "documents", "doc_id", lambda: whitespace.ligatures(F.concat(F.substring("text", 1, 30), F.lit("⁈ ⁉ ‼ ⁇"))), "substr(text, 1, 30) || '?! !? !! ??'")
+one("punctuation_ligatures_whole", "documents", "doc_id", lambda: whitespace.ligatures(F.concat("text", F.lit("⁈ ⁉ ‼ ⁇"))), "replace(replace(replace(replace(text || '⁈ ⁉ ‼ ⁇', '⁈', '?!'), '⁉', '!?'), '‼', '!!'), '⁇', '??')")
 one("plus_spoken", "documents", "doc_id", lambda: whitespace.plus_spoken(F.col("text")), r"regexp_replace(text, '[ \t]*\+[ \t]*', ' плюс ', 'g')")
 one("transliterate_latin", "documents", "doc_id", lambda: letters.transliterated(F.col("text")), "translate(" + "replace(" * 16 + "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" + "".join(f", '{a}', '{b}')" for a, b in (*letters.DIGRAPHS, *letters.DOUBLE)) + f", '{letters.SINGLE[0]}', '{letters.SINGLE[1]}')")
 one("strip_footnote_markers", "orders", "o_orderkey", lambda: whitespace.without_notes(F.concat(F.lit("Слово["), (F.col("o_orderkey") % 1500).cast("string"), F.lit("] и { 12 } конец"))), r"regexp_replace('Слово[' || (o_orderkey % 1500) || '] и { 12 } конец', '[\[{]\s*\d{1,3}\s*[\]}]', '', 'g')")
@@ -137,6 +139,7 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyz,.!?:; "
 one("symbol_filter", "documents", "doc_id", lambda: sentences.within_symbols(F.col("text"), SYMBOLS), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[—―‒−]', '–', 'g'), '[^a-zA-Z,.!?:; –]', ' ', 'g'), '\s+', ' ', 'g'), '\s+([,.!?:;])', '\1', 'g'), '([,.!?:;])(?:\s*[,.!?:;])+', '\1', 'g'), '^[\s,.:;!?–-]+', ''), '^\s+|\s+$', '', 'g')")
 one("speakable_filter", "documents", "doc_id", lambda: sentences.has_speakable(F.regexp_replace(F.col("text"), "[a-zA-Z]", "")), r"regexp_matches(regexp_replace(text, '[a-zA-Z]', '', 'g'), '[\p{L}\p{N}]')")
 one("metadata_text", "documents", "doc_id", lambda: letters.metadata_text(F.substring("text", 1, 90)), r"nullif(trim(regexp_replace(substr(text, 1, 90), '\s+', ' ', 'g')), '')")
+one("metadata_text_whole", "documents", "doc_id", lambda: letters.metadata_text(F.col("text")), r"nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')")
 one("first_line_title", "documents", "doc_id", lambda: F.concat_ws("|", F.coalesce(chapters.first_line_title(F.col("text"))["title"], F.lit("-")), F.length(chapters.first_line_title(F.col("text"))["body"]).cast("string")), r"""CASE WHEN length(regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '')) <= 80 THEN regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '') ELSE '-' END || '|' ||
   CASE WHEN length(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1]) <= 80 AND instr(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) > 0
   THEN length(regexp_replace(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), length(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1]) + 1), '^\s+|\s+$', '', 'g')) ELSE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) END""")
@@ -144,6 +147,7 @@ one("letter_ratio_score", "documents", "doc_id", lambda: F.round(letters.cyrilli
 one("content_fingerprint", "documents", "doc_id", lambda: identity.fingerprint(F.encode("text", "UTF-8")), "sha256(text)")
 one("clip_text", "documents", "doc_id", lambda: letters.clipped(F.col("text"), 1000), "CASE WHEN length(text) > 1000 THEN substr(text, 1, 999) || '…' ELSE text END")
 one("escape_meta", "documents", "doc_id", lambda: letters.meta_escaped(F.concat(F.substring("text", 1, 60), F.lit("\r\n= a;b#c\\ "))), r"regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60) || chr(13) || chr(10) || '= a;b#c\ ', '([\\=;#])', '\\\1', 'g'), '\r\n|[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')")
+one("escape_meta_whole", "documents", "doc_id", lambda: letters.meta_escaped(F.concat("text", F.lit("\r\n= a;b#c\\ "))), r"regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || '= a;b#c\ ', '([\\=;#])', '\\\1', 'g'), '\r\n|[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')")
 one("html_to_text", "pages", "page_id", lambda: rx.strip(rx.sub(text.strip_html("html"), r"\s+", " ")), r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
   '(?i)</?(address|article|blockquote|dd|div|dl|dt|h1|h2|h3|h4|h5|h6|header|li|main|ol|p|pre|section|table|td|th|tr|ul|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))""")
 one("safe_filename", "part", "p_partkey", lambda: letters.safe_filename(F.concat(F.lit(" ."), "p_name", F.lit("/: ..x"), "p_type", F.lit("? "))), r"""rtrim(substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(' .' || p_name || '/: ..x' || p_type || '? ', '[\\/:*?"<>|]', ' ', 'g'), '\s+', ' ', 'g')), '\.+', '.', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 120), '. ')""")
@@ -340,6 +344,14 @@ def active_duplicates(spark, t):
     return identity.rejected_duplicates(new, job_rows(t), any_stage=False)
 
 
+@job_query("SELECT DISTINCT sha256(d.text) AS content_hash FROM documents d WHERE sha256(d.text) IN (SELECT sha256(b.text) FROM j JOIN documents b ON b.doc_id = j.id WHERE j.stage NOT IN ('done', 'failed', 'cancelled'))")
+def active_duplicates_whole(spark, t):
+    """active_duplicates by the hashes of the texts themselves; a job's book is the document of its id."""
+    hashed = t("documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"))
+    known = job_rows(t).drop("content_hash").join(hashed.withColumnRenamed("doc_id", "id"), "id")
+    return identity.rejected_duplicates(hashed.select("content_hash").distinct(), known, any_stage=False)
+
+
 @job_query("SELECT content_hash, max(id) AS id, arg_max(stage, id) AS stage FROM j GROUP BY content_hash")
 def job_latest_by_hash(spark, t):
     return jobs.latest_by_hash(job_rows(t), active_only=False)

@@ -1,6 +1,9 @@
 """The queries over whole texts, on texts that their bounded forms cut or leave out."""
 
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
 from narrata.plans.registry import QUERIES
 
@@ -61,3 +64,29 @@ def test_chunk_hard_split_whole(spark, sf):
     d = sf(texts)
     got = {r.doc_id: r.pieces for r in QUERIES["chunk_hard_split_whole"](spark, d).collect()}
     assert got == {i: len(hard(t, 200)) for i, t in enumerate(texts)}
+
+
+FAR = "a" * 100
+
+
+@pytest.mark.parametrize(
+    ("name", "text", "wanted"),
+    [
+        ("quote_normalize", f"{FAR} “x” it’s", f"«{FAR} «x» it's» «x» \" it's"),
+        ("punctuation_ligatures", f"{FAR}⁉", f"{FAR}!??! !? !! ??"),
+        ("metadata_text", f"{FAR} \n\t b", f"{FAR} b"),
+        ("escape_meta", f"{FAR}=;\nx", rf"{FAR}\=\; x \= a\;b\#c\\"),
+    ],
+)
+def test_expressions_reach_the_end(spark, sf, name, text, wanted):
+    d = sf([text])
+    assert [r.out for r in QUERIES[f"{name}_whole"](spark, d).collect()] == [wanted]
+    assert [r.out for r in QUERIES[name](spark, d).collect()] != [wanted]
+
+
+def test_active_duplicates_by_text(spark, sf, tmp_path):
+    d = sf(["x", "same", "other", "same", "y"])
+    orders = spark.range(1, 9).select(F.col("id").alias("o_orderkey"), F.lit(1).cast("long").alias("o_custkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.content_hash for r in QUERIES["active_duplicates_whole"](spark, d).collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest() for t in ("same", "other", "y")}
