@@ -5,8 +5,9 @@ recur on many pages of a host are deleted. What is a menu, header, footer, sideb
 or reader comment by its tag, role, class or id goes too. The rest of the articles (of the main element or the body, if
 there is none) is the text: a block for each block element, in page order.
 
-Templates are looked for outside articles, from MIN_PAGES pages and MIN_SHARE of the host's pages on; inside an article
-only among elements that hold blocks (not paragraphs, headings or items), and from IN_SHARE on, as articles may be copied.
+Templates are looked for from MIN_PAGES pages on that are MIN_SHARE of the host's pages, or MANY. Inside articles every
+block element may be one, paragraphs, headings and items too (an inline element is part of a sentence); as articles may be
+copied, pages whose articles are the same count once there.
 
 Defined cases: null or empty html gives empty text; unclosed tags, comments and references are read as browsers do, up to
 the end of the page; pages of a null url count as one host, the empty one; repeated rows each get the same text; other
@@ -27,12 +28,11 @@ from pyspark.sql import functions as F
 from narrata.llm.common import lean, small, stage, table
 from narrata.llm.urls import host_of
 
-MIN_PAGES, MIN_SHARE, IN_SHARE = 8, 0.1, 0.5
+MIN_PAGES, MIN_SHARE, MANY = 8, 0.1, 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-HOLDS_BLOCKS = frozenset("div section aside ul ol dl table header footer nav form figure details".split())
 #: An open element of the first kind ends when one of the second begins, unless one of the third is between.
 ENDED_BY = {
     "p": (BLOCK, frozenset("article aside blockquote body button div fieldset figure footer form header html li main nav section table td th".split())),
@@ -161,22 +161,23 @@ def content(root: Element) -> list[Element]:
     return found["article"] or found["main"] or [root]
 
 
-def subtrees(page: str) -> tuple[set[int], set[int]]:
-    """Digests of the elements that may be templates: outside articles, and inside them."""
+def subtrees(page: str) -> tuple[set[int], set[int], int]:
+    """Digests of the elements that may be templates: outside articles, and inside them; and one of the content as a whole."""
     root = parsed(page)
     hashed(root)
+    whole = blake2b(b"".join(e.digest for e in content(root)), digest_size=8).digest()
     out: tuple[set[int], set[int]] = set(), set()
     stack = [(root, False)]
     while stack:
         e, inside = stack.pop()
         if e.tag in CONTENT or e.tag == "":
             inside = inside or e.tag == "article"
-        elif e.chars and not dropped(e, inside) and (not inside or e.tag in HOLDS_BLOCKS):
+        elif e.chars and not dropped(e, inside) and (not inside or e.tag in BLOCK):
             out[inside].add(int.from_bytes(e.digest, "little", signed=True))
         elif dropped(e, inside):
             continue
         stack += [(c, inside) for c in e.children if not isinstance(c, str)]
-    return out
+    return *out, int.from_bytes(whole, "little", signed=True)
 
 
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
@@ -211,15 +212,18 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
+#: A row without digest for each page says which content the page has.
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hosts, digests, inside = [], [], []
+        hosts, digests, inside, wholes = [], [], [], []
         for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-            for i, found in enumerate(subtrees(page.as_py() or "")):
+            *sets, whole = subtrees(page.as_py() or "")
+            for i, found in enumerate([*sets, [None]]):
                 hosts += [host] * len(found)
                 digests += found
                 inside += [bool(i)] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(inside, pa.bool_())], ["host", "digest", "inside"])
+                wholes += [whole if i else None] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(inside, pa.bool_()), pa.array(wholes, pa.int64())], ["host", "digest", "inside", "whole"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +233,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, digests: the subtrees that recur on the host's pages. pages: host, html. At most elements / MIN_SHARE a host."""
-    counts = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    found = pages.select("host", "html").mapInArrow(lean(_hashes), "host string, digest long, inside boolean").groupBy("host", "digest", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    often = found.join(counts, "host").where(F.col("n") >= F.when(F.col("inside"), IN_SHARE).otherwise(MIN_SHARE) * F.col("pages"))
+    """host, digests: the subtrees that recur on the host's pages. pages: host, html."""
+    rows = pages.select("host", "html").mapInArrow(lean(_hashes), "host string, digest long, inside boolean, whole long")
+    n = F.when(F.col("inside"), F.count_distinct("whole")).otherwise(F.count("*"))
+    found = stage(rows.groupBy("host", "digest", "inside").agg(n.alias("n")).where((F.col("n") >= MIN_PAGES) | F.col("digest").isNull()), "subtrees")
+    inside = found.where("digest is null").select("host", F.col("n").alias("contents"))
+    counts = pages.groupBy("host").agg(F.count("*").alias("pages")).join(inside, "host")
+    often = found.where("digest is not null").join(counts, "host").where((F.col("n") >= MIN_SHARE * F.when(F.col("inside"), F.col("contents")).otherwise(F.col("pages"))) | (F.col("n") >= MANY))
     return often.groupBy("host").agg(F.collect_set("digest").alias("digests"))
 
 

@@ -425,6 +425,18 @@ def test_site_templates(spark):
     assert by_id[3].text == "own text 3" and by_id[99].text == "" and by_id[98].text == "x" and by_id[3].n_chars == len("own text 3")
 
 
+def test_templates_inside_articles(spark):
+    notice, now_and_then = "<p>Read our weekly letter.</p>", "<div>A word from the house</div>"
+    made = [(i, "http://h.com/", f"<article><p>Text {i} of its own.</p>{now_and_then if i % 4 == 0 else ''}{notice}</article>") for i in range(60)]
+    made += [(100 + i, "http://copies.com/", f"<nav>{i}</nav><article><p>One text that is copied.</p></article>") for i in range(30)]
+    made += [(200 + i, "http://h.com/", f"<article><p>Text {i} with <b>Note</b> in it.</p></article>") for i in range(60)]
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_text(df).collect()}
+    assert all(got[i] == f"Text {i} of its own." for i in range(60))
+    assert all(got[100 + i] == "One text that is copied." for i in range(30))
+    assert all(got[200 + i] == f"Text {i} with Note in it." for i in range(60))
+
+
 def test_deep_html():
     assert html.main_text("<div>" * 20_000 + "x") == "x"
     assert html.main_text("<p>" + "a " * 50_000).startswith("a a")
