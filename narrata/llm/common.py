@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is at most this many bytes; beyond it the join shuffles.
 BROADCAST_LIMIT = 32 * 1024 * 1024
+#: A key of over 1 / HOT of a table's rows (and of over LEAST_HOT) is hot: its rows are split over several tasks.
+HOT, LEAST_HOT = 1024, 1000
 _local: list[str] = []
 _staged: list[str] = []
 
@@ -84,6 +86,27 @@ def small(df: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_LIMIT else df
 
 
+def hot_keys(counts: DataFrame, key: str, n: int) -> DataFrame:
+    """key, _salts: the keys of over 1 / HOT of n rows, of which there can't be more than HOT; and how many tasks to split them over.
+
+    counts: key, and its number of rows in n.
+    """
+    least = max(n // HOT, LEAST_HOT)
+    return counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("_salts"))
+
+
+def hot_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with lookup (one row for each key), with the rows of a hot key (see hot_keys) split by a hash of `by`.
+
+    The rows of a key in one task are at most about 1 / HOT of all; the lookup's row of a hot key is repeated for each part.
+    """
+    salts = F.broadcast(hot)
+    split = F.coalesce(F.col("_salts"), F.when(F.col(key).isNull(), F.lit(HOT)).otherwise(F.lit(1)))
+    rows = rows.join(salts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), split).cast("int")).drop("_salts")
+    lookup = lookup.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return rows.join(lookup, [key, "_salt"], how).drop("_salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (xor-shift, multiply), in place on a uint64 array."""
     x ^= x >> np.uint64(30)

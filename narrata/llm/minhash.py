@@ -13,7 +13,8 @@ that are still in different components. So any two documents that share a band e
 
 Defined cases: null or white text has no shingles (n_shingles 0), links with nothing and is kept; fewer words than the
 shingle's length make one shingle of all words; rows with a null doc_id are kept, never linked, and have a null component;
-rows that repeat a doc_id count as one document (linked if any of its texts is); other columns are ignored.
+rows that repeat a doc_id are one document, also where their texts differ: it is linked with whatever any of its texts is
+linked with, and each of its rows has its own n_shingles and the same component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import lean, mix64, small, stage, table
+from narrata.llm.common import hot_join, hot_keys, lean, mix64, small, stage, table
 
 BANDS, ROWS = 32, 5
 KEPT_WORDS = 150_000
@@ -36,6 +37,8 @@ KEPT_WORDS = 150_000
 STEP = 120_000
 #: Documents in a block of the later comparisons, and partners of a document that each block proposes at first.
 BLOCK, BEST = 64, 2
+#: Blocks of a band on one side of a cell of block pairs, about.
+SIDE = 16
 #: Rows of a label table that are written together, so that its many rounds don't leave many small files.
 ROWS_A_FILE = 500_000
 GOLD = 0x9E3779B97F4A7C15
@@ -67,6 +70,11 @@ def shingles(data: bytes, k: int, words: Words) -> np.ndarray:
     return np.unique(out)
 
 
+def digest(s: np.ndarray) -> bytes:
+    """What stands for a set: equal sets, and no others, share it."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def sign(sets: list[np.ndarray], m: int) -> np.ndarray:
     """SuperMinHash signatures (len(sets), m): rank in the upper 32 bits, r in the lower. No set may be empty."""
     sig = np.full((len(sets), m), EMPTY, np.uint64)
@@ -122,7 +130,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
         keys: list = [None] * len(sets)
         for i, x in zip(full, band_keys(sign([sets[i] for i in full], bands * rows), bands, rows), strict=True):
             keys[i] = x
-        same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        same = [digest(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "same", "bands"])
 
     for b in batches:
@@ -142,10 +150,9 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     words = Words()
     for b in batches:
         for at in range(0, len(b), 500):
-            part = b.slice(at, 500)
-            found = [shingles((t or "").encode(), k, words) for t in part.column("text").to_pylist()]
+            found = [s for t in b.slice(at, 500).column("text").to_pylist() if len(s := shingles((t or "").encode(), k, words))]
             short = [(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(short, pa.binary())], ["doc", "shingles", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in ([digest(s) for s in found], [s.tobytes() for s in found], short)], ["same", "shingles", "short"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -170,7 +177,7 @@ def _promising(batches: Iterator[pa.RecordBatch], percent: int, best: int | None
 
     def read(x: pa.Array) -> tuple:
         bands = x.field("bands")
-        return x.field("doc").to_numpy(), x.field("label").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint16) for s in x.field("short")], bands.flatten().to_numpy().reshape(len(x), -1)
+        return x.field("cls").to_numpy(), x.field("label").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint16) for s in x.field("short")], bands.flatten().to_numpy().reshape(len(x), -1)
 
     for b in batches:
         a, to = [], []
@@ -195,17 +202,25 @@ def _promising(batches: Iterator[pa.RecordBatch], percent: int, best: int | None
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, label): the least document reachable over links (a, b); by least neighbour and pointer jumping, to a fixpoint."""
+    """(cls, label): the least class reachable over links (a, b); by least neighbour and pointer jumping, to a fixpoint.
+
+    A class with very many links, or a label with very many members, is a hot key of these joins: see common.hot_join.
+    """
     both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    parts = 1 + both.count() // ROWS_A_FILE
-    labels = both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("m")).select("doc", F.least("doc", "m").alias("label"))
+    n = both.count()
+    parts = 1 + n // ROWS_A_FILE
+    hubs = stage(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", n), "hubs")
+    labels = both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("label"))
     labels = stage(labels.coalesce(parts), "labels")
+    n = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("label").alias("m"))
-        hop = labels.join(near, "doc").select("doc", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = hop.join(labels.select(F.col("doc").alias("label"), F.col("label").alias("far")), "label", "left").select("doc", "old", F.least("label", "far").alias("label"))
+        near = hot_join(both, labels.withColumnRenamed("cls", "b"), "b", "a", hubs).groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("m"))
+        hop = labels.join(near, "cls").select("cls", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        hop = stage(hop.coalesce(parts), "hop")
+        hot = hot_keys(hop.groupBy("label").agg(F.count("*").alias("n")), "label", n)
+        jump = hot_join(hop, labels.select(F.col("cls").alias("label"), F.col("label").alias("far")), "label", "cls", hot).select("cls", "old", F.least("label", "far").alias("label"))
         jump = stage(jump.coalesce(parts), "labels")
-        labels = jump.select("doc", "label")
+        labels = jump.select("cls", "label")
         if jump.where("label <> old").isEmpty():
             return labels
 
@@ -215,51 +230,88 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Links join documents with 100 * intersection >= percent * union of their shingle sets. A pair at just 80 % shares none
     of 32 bands of 5 with probability 3e-6; every pair that shares one is decided on the full sets.
+
+    Everything between the signatures and the result is about classes (cls), one for each different set. Their numbers
+    are in the order of their least doc_id, so that the least class of a component has its least document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(docs.mapInArrow(lean(partial(_signed, k=shingle, bands=bands, rows=rows)), "doc_id long, n long, same binary, bands array<long>"), "signatures")
-    reps = signed.where("n > 0 and doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
-    reps = stage(reps.select("same", F.col("r.doc_id").alias("doc"), "r.n", "r.bands"), "classes")
+    named = signed.where("doc_id is not null")
+    reps = named.where("n > 0").groupBy("same").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"), F.count("*").alias("rows"))
+    reps = reps.select("same", "rows", F.col("r.doc_id").alias("doc"), "r.n", "r.bands").repartitionByRange("doc").sortWithinPartitions("doc", "same")
+    reps = stage(reps.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    each = reps.select("doc", "n", F.explode("bands").alias("band"))
-    several = each.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc").alias("h"), "doc", "n")).alias("p")).where("c > 1")
-    members = stage(each.join(several, "band").select("band", "doc", "n", F.col("p.doc").alias("p"), F.col("p.n").alias("pn")), "bands")
+    each = reps.select("cls", "n", F.explode("bands").alias("band"))
+    several = stage(each.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("p")).where("c > 1"), "bands")
+    hot = hot_keys(several.select("band", F.col("c").alias("n")), "band", bands * reps.count())
+    members = hot_join(each, several, "band", "cls", hot).select("band", "cls", "n", F.col("p.cls").alias("p"), F.col("p.n").alias("pn"))
+    members = stage(members, "members")
 
     alike = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    ids = stage(members.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
-    sets = stage(docs.join(small(ids, 16 * ids.count()), "doc_id", "left_semi").mapInArrow(lean(partial(_sets, k=shingle)), "doc long, shingles binary, short binary").dropDuplicates(["doc"]), "sets")
+    candidates = stage(members.select("cls").distinct().join(reps.select("cls", "same", "doc"), "cls"), "candidates")
+    ids = candidates.select(F.col("doc").alias("doc_id")).distinct()
+    sets = docs.join(small(ids, 16 * candidates.count()), "doc_id", "left_semi").mapInArrow(lean(partial(_sets, k=shingle)), "same binary, shingles binary, short binary").dropDuplicates(["same"])
+    sets = stage(sets.join(candidates.select("same", "cls"), "same").select("cls", "shingles", "short"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
-        with_y = with_x.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-        return with_y.select("a", "b", "x", "y").mapInArrow(lean(partial(_verified, percent=percent)), "a long, b long")
-
-    pairs = stage(members.where((F.col("doc") != F.col("p")) & alike("n", "pn")).select(*pair("doc", "p")).distinct(), "pairs")
-    links = stage(verified(pairs), "links")
+        """The pairs (staged) that are links. Both sets are sought out; that of a pivot is asked for by very many pairs."""
+        n, joined = pairs.count(), pairs
+        for one, by, held in (("a", "b", "x"), ("b", "a", "y")):
+            hot = hot_keys(pairs.groupBy(one).agg(F.count("*").alias("n")), one, n)
+            joined = hot_join(joined, sets.select(F.col("cls").alias(one), F.col("shingles").alias(held)), one, by, hot)
+        return joined.select("a", "b", "x", "y").mapInArrow(lean(partial(_verified, percent=percent)), "a long, b long")
+
+    pairs = stage(members.where((F.col("cls") != F.col("p")) & alike("n", "pn")).select(*pair("cls", "p")).distinct(), "pairs")
+    repeated = named.groupBy("doc_id").agg(F.min("same").alias("s"), F.max("same").alias("t"), F.count("same").alias("texts"), F.count("*").alias("rows"))
+    repeated = stage(repeated.where("s <> t or texts between 1 and rows - 1").select("doc_id", F.col("s").alias("first")), "repeated")
+    links = verified(pairs)
+    if several_texts := not repeated.isEmpty():
+        # a doc_id of several texts is one document: it links their classes
+        of = lambda name: reps.select(F.col("same").alias(name), F.col("cls").alias("a" if name == "first" else "b"))
+        own = named.where("n > 0").select("doc_id", "same").distinct().join(repeated, "doc_id").where("same <> first")
+        links = links.union(own.join(of("first"), "first").join(of("same"), "same").select(*pair("a", "b")).distinct())
+    links = stage(links, "links")
     labels = components(links)
-    seen = stage(reps.select("doc", "bands").join(sets.select("doc", "short"), "doc").dropDuplicates(["doc"]), "seen")
+    seen = stage(reps.select("cls", "bands").join(sets.select("cls", "short"), "cls"), "seen")
     for best in (BEST, None):
-        parts = members.select("band", "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        groups = parts.groupBy("band", "label").agg(F.count("*").alias("c"))
-        several = groups.groupBy("band").agg(F.count("*").alias("k"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("rest")).where("k > 1")
-        groups = groups.join(several, "band").select("band", "label", F.when(F.col("c") >= BLOCK, F.col("label")).alias("own"), F.when(F.col("c") >= BLOCK, F.col("c")).otherwise(F.col("rest")).alias("size"))
-        block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)).alias("block")
-        parts = parts.join(groups, ["band", "label"]).join(seen, "doc").groupBy("band", "own", block).agg(F.collect_list(F.struct("doc", "label", "short", "bands")).alias("x"))
+        parts = members.select("band", "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        groups = stage(parts.groupBy("band", "label").agg(F.count("*").alias("c")), "groups")
+        full = F.col("c") >= BLOCK
+        blocks = F.sum(F.when(full, F.ceil(F.col("c") / BLOCK)).otherwise(0)) + F.ceil(F.sum(F.when(full, 0).otherwise(F.col("c"))) / BLOCK)
+        several = groups.groupBy("band").agg(F.count("*").alias("k"), F.sum(F.when(full, 0).otherwise(F.col("c"))).alias("rest"), F.ceil(blocks / SIDE).alias("sides")).where("k > 1")
+        groups = groups.join(several, "band").select("band", "label", F.when(full, F.col("label")).alias("own"), F.when(full, F.col("c")).otherwise(F.col("rest")).alias("size"), "sides", F.struct("band", "label").alias("group"), F.col("c").alias("n"))
+        hot = hot_keys(groups, "group", members.count())
+        parts = hot_join(parts.withColumn("group", F.struct("band", "label")).drop("band", "label"), groups.drop("n"), "group", "cls", hot)
+        block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK)).alias("block")
+        parts = parts.join(seen, "cls").groupBy("band", "own", "sides", block).agg(F.collect_list(F.struct("cls", "label", "short", "bands")).alias("x"))
         blocks = stage(parts, "blocks")
         if blocks.isEmpty():
             break
+        # the pairs of blocks of a band lie in a square of `sides` x `sides` cells; each cell is a key of its own, of about
+        # SIDE blocks on either side, so a band of very many documents is no single task
+        side = F.pmod(F.xxhash64("own", "block"), F.col("sides")).cast("int")
+        all_sides = F.explode(F.sequence(F.lit(0), (F.col("sides") - 1).cast("int")))
         name = lambda own, block: F.struct(F.coalesce(F.col(own), F.lit(-1)), F.col(own).isNull(), F.col(block))
-        other = blocks.select("band", F.col("own").alias("y_own"), F.col("block").alias("y_block"), F.col("x").alias("y"))
-        met = blocks.join(other, "band").where((name("own", "block") <= name("y_own", "y_block")) & F.coalesce(F.col("own") != F.col("y_own"), F.lit(True)))
+        these = blocks.select("band", "own", "block", "x", side.alias("row"), all_sides.alias("column"))
+        other = blocks.select("band", F.col("own").alias("y_own"), F.col("block").alias("y_block"), F.col("x").alias("y"), side.alias("column"), all_sides.alias("row"))
+        met = these.join(other, ["band", "row", "column"]).where((name("own", "block") <= name("y_own", "y_block")) & F.coalesce(F.col("own") != F.col("y_own"), F.lit(True)))
         met = met.select("band", "x", "y").mapInArrow(lean(partial(_promising, percent=percent, best=best)), "a long, b long")
         more = stage(verified(stage(met.distinct(), "pairs")), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
 
-    classes = reps.select("same", "doc").join(labels, "doc", "left").select("same", F.coalesce("label", "doc").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes, "same", "left")
+    labels = stage(reps.select("cls", "same", "rows").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labels")
+    hot = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), "label", labels.count())
+    classes = hot_join(labels, reps.select(F.col("cls").alias("label"), F.col("doc").alias("component_id")), "label", "cls", hot).select("same", "rows", "component_id")
+    classes = stage(classes, "components")
+    hot = hot_keys(classes.select("same", F.col("rows").alias("n")), "same", signed.count())
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same"))
+    out = hot_join(out, classes.drop("rows"), "same", "doc_id", hot, "left")
+    if several_texts:  # rows without text of a document that has one in another row
+        known = repeated.join(classes.select(F.col("same").alias("first"), F.col("component_id").alias("whole")), "first").drop("first")
+        out = out.join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "whole"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

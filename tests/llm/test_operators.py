@@ -6,10 +6,11 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, chunking, fingerprints, html, media, minhash, mixing, pii, quality, secrets, urls
+from narrata.llm import bpe, chunking, common, fingerprints, html, media, minhash, mixing, pii, quality, secrets, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PASSAGE = "one passage that several documents of this table share word for word and that is long enough to be cut as a chunk of its own. " * 30
@@ -140,6 +141,43 @@ def test_near_duplicates(spark, texts, k):
         assert r.component_id == wanted.get(r.doc_id) and r.kept == (r.doc_id is None or wanted[r.doc_id] == r.doc_id)
 
 
+def test_unlike_texts_of_one_id(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(str(rng.randrange(900)) for _ in range(80)) for _ in range(4))
+    near = lambda t: t.replace(t.split()[40], "zz", 1)
+    all_ = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, d), (11, near(c)), (12, near(d)), (5, ""), (9, None), (20, None), (20, " "), (30, "x"), (30, "x")]
+    wanted, _ = components(all_, 2)
+    rng.shuffle(all_)
+    rows = minhash.near_duplicates(documents(spark, all_), shingle=2).collect()
+    assert len(rows) == len(all_)
+    assert all(r.component_id == wanted[r.doc_id] and r.kept == (wanted[r.doc_id] == r.doc_id) for r in rows)
+
+
+def test_one_band_of_many_unlinked_documents(spark, monkeypatch):
+    """All documents share every band, few are linked: the pairs of blocks are dealt out by cells, and none is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SIDE", 2)
+    monkeypatch.setattr(minhash, "band_keys", lambda sig, bands, rows: np.tile(np.arange(bands), (len(sig), 1)))
+    rng = random.Random(13)
+    all_ = [(i, " ".join(str(rng.randrange(10_000)) for _ in range(20))) for i in range(60)]
+    all_ += [(100 + i, t.replace(t.split()[3], "zz", 1)) for i, t in all_[::6]]
+    wanted, _ = components(all_, 1)
+    rows = minhash.near_duplicates(documents(spark, all_).repartition(1), shingle=1, bands=2, rows=2).collect()
+    assert {r.doc_id: r.component_id for r in rows} == wanted
+
+
+def test_hot_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(common, "HOT", 4)
+    rows = spark.range(100).select(F.col("id").alias("by"), F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1)).alias("k"))
+    lookup = spark.range(200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = common.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), "k", 100)
+    assert [r.k for r in hot.where("k is not null").collect()] == [1]
+    for how in ("inner", "left"):
+        wanted = rows.join(lookup, "k", how).select("by", "k", "v").collect()
+        assert sorted(map(repr, common.hot_join(rows, lookup, "k", "by", hot, how).select("by", "k", "v").collect())) == sorted(map(repr, wanted))
+
+
 def test_superminhash_estimates():
     rng = random.Random(1)
     errors = []
