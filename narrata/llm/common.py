@@ -95,18 +95,23 @@ def hot_keys(counts: DataFrame, key: str, n: int) -> DataFrame:
     return counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("_salts"))
 
 
-def hot_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with lookup (one row for each key), with the rows of a hot key (see hot_keys) split by a hash of `by`.
+def salted(rows: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """rows with _salt: the part of a hot key (see hot_keys) that a hash of `by` puts a row in, 0 for other keys."""
+    parts = F.coalesce(F.col("_salts"), F.when(F.col(key).isNull(), F.lit(HOT)).otherwise(F.lit(1)))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_salts")
 
-    The rows of a key in one task are at most about 1 / HOT of all; the lookup's row of a hot key is repeated for each part.
-    """
-    salts = F.broadcast(hot)
-    split = F.coalesce(F.col("_salts"), F.when(F.col(key).isNull(), F.lit(HOT)).otherwise(F.lit(1)))
-    rows = rows.join(salts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), split).cast("int")).drop("_salts")
-    lookup = lookup.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (salted) joined with lookup (one row for each key), whose row of a hot key is repeated for each of its parts."""
+    lookup = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return rows.join(lookup, [key, "_salt"], how).drop("_salt")
 
 
+def hot_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with lookup by key; the rows of a hot key that meet in one task are about 1 / HOT of all at most."""
+    return salted_join(salted(rows, key, by, hot), lookup, key, hot, how)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (xor-shift, multiply), in place on a uint64 array."""
     x ^= x >> np.uint64(30)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import hot_join, hot_keys, lean, mix64, small, stage, table
+from narrata.llm.common import hot_join, hot_keys, lean, mix64, salted, salted_join, small, stage, table
 
 BANDS, ROWS = 32, 5
 KEPT_WORDS = 150_000
@@ -210,11 +210,15 @@ def components(links: DataFrame) -> DataFrame:
     n = both.count()
     parts = 1 + n // ROWS_A_FILE
     hubs = stage(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", n), "hubs")
+    if not hubs.isEmpty():
+        both = stage(salted(both, "b", "a", hubs), "links")
+    else:
+        both = both.withColumn("_salt", F.lit(0))
     labels = both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("label"))
     labels = stage(labels.coalesce(parts), "labels")
     n = labels.count()
     while True:
-        near = hot_join(both, labels.withColumnRenamed("cls", "b"), "b", "a", hubs).groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("m"))
+        near = salted_join(both, labels.withColumnRenamed("cls", "b"), "b", hubs).groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("m"))
         hop = labels.join(near, "cls").select("cls", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         hop = stage(hop.coalesce(parts), "hop")
         hot = hot_keys(hop.groupBy("label").agg(F.count("*").alias("n")), "label", n)
