@@ -1,34 +1,44 @@
 """Main text of web pages, with the removal of site templates.
 
-A small tree builder reads a page. Subtrees are hashed (tags and text) and counted for each host in Spark; those that
-recur on many pages of a host are deleted. What is a menu, header, footer, sidebar, notice, advert, form, script, style
-or reader comment by its tag, role, class or id goes too. The rest of the articles (of the main element or the body, if
-there is none) is the text: a block for each block element, in page order.
-
-Templates are looked for from MIN_PAGES pages on that are MIN_SHARE of the host's pages, or MANY. Inside articles every
-block element may be one, paragraphs, headings and items too (an inline element is part of a sentence); as articles may be
-copied, pages whose articles are the same count once there.
+A small tree builder reads a page. The subtrees of all pages are hashed (tags and text) and counted for each host in
+Spark, before anything else is taken out; those that recur on many pages of a host are deleted. Of what is left, the
+articles (without any, the main elements, else the body) are the text: a block for each block element, in page order,
+without the elements that are no text by their tag or role, or by a class or id that names one of the kinds of the
+contract (menu, header, footer, sidebar, notice, advert, form, reader comments). Nothing else is dropped.
+
+A subtree is a template of a host with n pages if it is on needed(n) of them: a tenth, or MANY, but LEAST at least and in
+small hosts half of the pages (up to MIN_PAGES). Outside articles every element is counted, on pages. Inside articles
+every block element is, paragraphs, headings and items too (an inline element is part of a sentence). As articles are copied and
+edited, pages count there by their companies, the least hash among the other blocks of the articles: copies share it and
+near copies mostly do, so that what recurs only among them is no template. As another template may be the least, that is
+done in a few random orders, of which the one with the most companies counts. A subtree is deleted only on the side (inside
+or outside articles) where it recurs.
 
 Defined cases: null or empty html gives empty text; unclosed tags, comments and references are read as browsers do, up to
-the end of the page; pages of a null url count as one host, the empty one; repeated rows each get the same text; other
-columns are ignored.
+the end of the page; a host of fewer than LEAST pages has no templates; pages of a null url count as one host, the empty
+one; repeated rows each get the same text; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import lean, small, stage, table
+from narrata.llm.common import lean, mix64, small, stage, table
 from narrata.llm.urls import host_of
 
-MIN_PAGES, MIN_SHARE, MANY = 8, 0.1, 1000
+LEAST, MIN_PAGES, MIN_SHARE, MANY = 3, 8, 0.1, 1000
+#: What hashes are mixed with for the orders that companies are by; and what stands for no company.
+ORDERS = mix64(np.arange(1, 5, dtype=np.uint64))
+NONE = np.iinfo(np.uint64).max
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes iframe".split())
@@ -45,50 +55,57 @@ ENDED_BY = {
     "option": (frozenset(["option", "optgroup"]), frozenset(["select"])),
     "head": (frozenset(["body"]), frozenset()),
 }
-DROPPED = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input dialog menu head title search noframes".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Parts of class names and ids.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead comment comments disqus replies reply share sharing social related recommended recommendations newsletter subscribe signup login widget toolbar pagination pager skip".split()
-)
+ENDS = frozenset().union(*(ends for ends, _ in ENDED_BY.values()))
+# Fixed values of the contract, as tags, roles, and parts of class names and ids.
+DROPPED = frozenset("nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input menu head title search noframes".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form alert menu menubar".split())
+NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus".split())
 CONTENT = frozenset(["html", "body", "main", "article"])
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A comment, a CDATA section, a tag (an attribute's value may be quoted and hold anything), a declaration. No part is read
+#: twice: what may not match is possessive, and a quote that is never closed is an ordinary character.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "digest", "chars")
+    __slots__ = ("tag", "attributes", "children", "digest", "chars", "template")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.template = tag, attributes, [], False
 
 
 def parsed(page: str) -> Element:
     root = Element("")
-    open_ = [root]
-    at = 0
-    while m := TOKEN.search(page, at):
+    open_, names = [root], Counter()
+    at, last = 0, page.rfind(">")
+
+    def close(i: int) -> None:
+        names.subtract(e.tag for e in open_[i:])
+        del open_[i:]
+
+    while m := TOKEN.search(page, at, last + 1):  # no tag ends after the last ">"
         if m.start() > at:
             open_[-1].children.append(page[at : m.start()])
         at = m.end()
+        if at == last + 1 and (m[1] is not None or m.group().startswith("<!--")) and not m.group().endswith(("-->", "]]>")):
+            at = len(page)  # it is never closed
         if m[1]:
             open_[-1].children.append(m[1].replace("&", "&amp;"))
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
         if m[2] or m[5]:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if names[tag] else ():
                 if open_[i].tag == tag:
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i].tag in ("td", "th", "table") and tag not in BLOCK:
                     break
             continue
-        for i in range(len(open_) - 1, 0, -1):
+        for i in range(len(open_) - 1, 0, -1) if tag in ENDS else ():
             ends, scope = ENDED_BY.get(open_[i].tag, ((), ()))
             if tag in ends:
-                del open_[i:]
+                close(i)
                 break
             if open_[i].tag in BLOCK and open_[i].tag not in ENDED_BY or open_[i].tag in scope:
                 break
@@ -97,12 +114,11 @@ def parsed(page: str) -> Element:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>?", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not e.attributes.endswith("/"):
+        elif tag not in VOID and (tag in BLOCK or not e.attributes.endswith("/")):
             open_.append(e)
-        elif tag not in VOID and tag in BLOCK:
-            open_.append(e)
-    if at < len(page):
-        open_[-1].children.append(page[at:])
+            names[tag] += 1
+    if rest := re.split("<[!?/]", page[at:], maxsplit=1)[0]:
+        open_[-1].children.append(rest)
     return root
 
 
@@ -129,19 +145,17 @@ def hashed(e: Element) -> bytes:
 
 
 def dropped(e: Element, inside: bool) -> bool:
-    """Whether an element is no content by its tag or attributes. inside: it is in an article."""
+    """Whether an element is no text by its tag or attributes. inside: it is in an article."""
     if e.tag in DROPPED or e.tag == "header" and not inside:
         return True
     if not e.attributes or e.tag in CONTENT:
         return False
     for m in ATTRIBUTE.finditer(e.attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            if any(p in NAMES for p in re.split(r"[^a-z]+", value)):
-                return True
-            if not inside and "header" in re.split(r"[^a-z]+", value):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if m[1].lower() == "role":
+            if value in ROLES:
                 return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif any(p in NAMES or p == "header" and not inside for p in re.split(r"[^a-z]+", value)):
             return True
     return False
 
@@ -161,29 +175,64 @@ def content(root: Element) -> list[Element]:
     return found["article"] or found["main"] or [root]
 
 
-def subtrees(page: str) -> tuple[set[int], set[int], int]:
-    """Digests of the elements that may be templates: outside articles, and inside them; and one of the content as a whole."""
-    root = parsed(page)
-    hashed(root)
-    whole = blake2b(b"".join(e.digest for e in content(root)), digest_size=8).digest()
-    out: tuple[set[int], set[int]] = set(), set()
+def subtrees(root: Element) -> Iterator[tuple[Element, bool]]:
+    """The elements that may be templates (hashed), with whether they are in an article."""
     stack = [(root, False)]
     while stack:
         e, inside = stack.pop()
         if e.tag in CONTENT or e.tag == "":
             inside = inside or e.tag == "article"
-        elif e.chars and not dropped(e, inside) and (not inside or e.tag in BLOCK):
-            out[inside].add(int.from_bytes(e.digest, "little", signed=True))
-        elif dropped(e, inside):
-            continue
+        elif e.chars and (not inside or e.tag in BLOCK):
+            yield e, inside
         stack += [(c, inside) for c in e.children if not isinstance(c, str)]
-    return *out, int.from_bytes(whole, "little", signed=True)
 
 
-def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
+def counted(page: str) -> tuple[set[int], dict[int, np.ndarray], np.ndarray]:
+    """Hashes of a page's elements outside articles; of those inside with their companies; and the companies of no element.
+
+    A company is the least of the hashes of the innermost blocks that are not in an element, in each of len(ORDERS) random
+    orders; NONE if there are none.
+    """
     root = parsed(page)
-    if templates:
+    hashed(root)
+    outside, leaves, found = set(), [], []
+    stack: list[tuple[Element, bool, int | None]] = [(root, False, None)]
+    while stack:
+        e, inside, first = stack.pop()
+        if first is not None:  # all that is in e is done
+            if first == len(leaves):
+                leaves.append(e.digest)
+            found.append((number(e), first, len(leaves)))
+            continue
+        if e.tag in CONTENT or e.tag == "":
+            inside = inside or e.tag == "article"
+        elif e.chars and not inside:
+            outside.add(number(e))
+        elif e.chars and e.tag in BLOCK:
+            stack.append((e, True, len(leaves)))
+        stack += [(c, inside, None) for c in e.children if not isinstance(c, str)]
+    h = mix64(np.frombuffer(b"".join(leaves), np.uint64)[None, :] ^ ORDERS[:, None])
+    end = np.full((len(ORDERS), 1), NONE)
+    before = np.minimum.accumulate(np.hstack([end, h]), 1)
+    after = np.minimum.accumulate(np.hstack([end, h[:, ::-1]]), 1)[:, ::-1]
+    inside: dict[int, np.ndarray] = {}
+    for x, first, last in found:
+        company = np.minimum(before[:, first], after[:, last])
+        inside[x] = np.minimum(inside[x], company) if x in inside else company
+    return outside, inside, before[:, -1]
+
+
+def number(e: Element) -> int:
+    return int.from_bytes(e.digest, "little", signed=True)
+
+
+def main_text(page: str, outside: frozenset[int] = frozenset(), inside: frozenset[int] = frozenset()) -> str:
+    """The text of a page without the templates (hashes) outside and inside articles."""
+    root = parsed(page)
+    if outside or inside:
         hashed(root)
+        for e, i in list(subtrees(root)):
+            e.template = number(e) in (inside if i else outside)
     blocks, text = [], []
 
     def close() -> None:
@@ -191,10 +240,11 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
             blocks.append(line)
         text.clear()
 
+    tops = content(root)
     stack: list = []
-    for top in reversed(content(root)):
+    for top in reversed(tops):
         stack += [close, *reversed(top.children), close]
-    inside = bool(content(root)[0].tag == "article")
+    in_article = tops[0].tag == "article"
     while stack:
         x = stack.pop()
         if isinstance(x, str):
@@ -203,7 +253,7 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
             x()
         elif x.tag == "br":
             text.append(" ")
-        elif not dropped(x, inside) and not (templates and int.from_bytes(x.digest, "little", signed=True) in templates):
+        elif not x.template and not dropped(x, in_article):
             if x.tag in BLOCK:
                 close()
                 stack.append(close)
@@ -212,43 +262,64 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-#: A row without digest for each page says which content the page has.
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, digest, side, company: a row for each different subtree of a page.
+
+    side is -1 outside articles; inside it is the number of the order that the company is by. One row without digest for
+    each order says the company of a page's articles as a whole.
+    """
     for b in batches:
-        hosts, digests, inside, wholes = [], [], [], []
+        hosts, digests, sides, companies = [], [], [], []
         for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-            *sets, whole = subtrees(page.as_py() or "")
-            for i, found in enumerate([*sets, [None]]):
-                hosts += [host] * len(found)
-                digests += found
-                inside += [bool(i)] * len(found)
-                wholes += [whole if i else None] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(inside, pa.bool_()), pa.array(wholes, pa.int64())], ["host", "digest", "inside", "whole"])
+            outside, inside, whole = counted(page.as_py() or "")
+            n = len(outside) + (len(inside) + 1) * len(ORDERS)
+            hosts += [host] * n
+            digests += outside
+            sides += [-1] * len(outside)
+            companies += [None] * len(outside)
+            for x, company in [(None, whole), *inside.items()]:
+                digests += [x] * len(ORDERS)
+                sides += range(len(ORDERS))
+                companies += [None if c == -1 else c for c in company.view(np.int64).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(sides, pa.int32()), pa.array(companies, pa.int64())], ["host", "digest", "side", "company"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        done = [main_text(p.as_py() or "", frozenset(t.as_py() or ())) for p, t in zip(b.column("html"), b.column("digests"), strict=True)]
+        done = [main_text(p.as_py() or "", *(frozenset(x.as_py() or ()) for x in t)) for p, *t in zip(b.column("html"), b.column("outside"), b.column("inside"), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(done, pa.string()), pa.array([len(t) for t in done], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def needed(pages: Column) -> Column:
+    """On how many of a host's pages a subtree must be to be a template."""
+    share = F.greatest(F.lit(float(LEAST)), MIN_SHARE * pages, F.least(F.lit(float(MIN_PAGES)), pages / 2))
+    return F.least(F.lit(float(MANY)), share)
+
+
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, digests: the subtrees that recur on the host's pages. pages: host, html."""
-    rows = pages.select("host", "html").mapInArrow(lean(_hashes), "host string, digest long, inside boolean, whole long")
-    n = F.when(F.col("inside"), F.count_distinct("whole")).otherwise(F.count("*"))
-    found = stage(rows.groupBy("host", "digest", "inside").agg(n.alias("n")).where((F.col("n") >= MIN_PAGES) | F.col("digest").isNull()), "subtrees")
-    inside = found.where("digest is null").select("host", F.col("n").alias("contents"))
-    counts = pages.groupBy("host").agg(F.count("*").alias("pages")).join(inside, "host")
-    often = found.where("digest is not null").join(counts, "host").where((F.col("n") >= MIN_SHARE * F.when(F.col("inside"), F.col("contents")).otherwise(F.col("pages"))) | (F.col("n") >= MANY))
-    return often.groupBy("host").agg(F.collect_set("digest").alias("digests"))
+    """host, outside, inside: hashes of the subtrees that recur on the host's pages. pages: host, html.
+
+    The hosts' counts are summed before they meet: one row for each subtree, company and host leaves a task.
+    """
+    rows = pages.select("host", "html").mapInArrow(lean(_hashes), "host string, digest long, side int, company long")
+    pairs = rows.groupBy("host", "digest", "side", "company").agg(F.count("*").alias("rows"))
+    n = F.when(F.col("side") < 0, F.sum("rows")).otherwise(F.count("company"))
+    found = pairs.groupBy("host", "digest", "side").agg(n.alias("n")).groupBy("host", "digest", (F.col("side") >= 0).alias("inside")).agg(F.max("n").alias("n"))
+    found = stage(found.where((F.col("n") >= LEAST) | F.col("digest").isNull()), "subtrees")
+    wholes = found.where("digest is null").select("host", F.lit(True).alias("inside"), F.col("n").alias("pages"))
+    hosts = stage(pages.groupBy("host").agg(F.count("*").alias("pages")).withColumn("inside", F.lit(False)).unionByName(wholes), "hosts")
+    size = hosts.agg(F.sum(F.length("host") + 32)).head()[0] or 0
+    often = found.where("digest is not null").join(small(hosts, size), ["host", "inside"]).where(F.col("n") >= needed(F.col("pages")))
+    side = lambda i: F.collect_list(F.when(F.col("inside") == i, F.col("digest")))
+    return often.groupBy("host").agg(side(False).alias("outside"), side(True).alias("inside"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page. The pages are read twice; they are shuffled only if templates are many."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", host_of(F.col("url")).alias("host"))
     templates = stage(site_templates(pages), "templates")
-    size = templates.agg(F.sum(F.size("digests") * 8 + 64)).head()[0] or 0
-    joined = pages.join(small(templates, size), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digests")
+    size = templates.agg(F.sum((F.size("outside") + F.size("inside")) * 8 + F.length("host") + 64)).head()[0] or 0
+    joined = pages.join(small(templates, size), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "outside", "inside")
     return joined.mapInArrow(lean(_texts), "page_id long, url string, text string, n_chars long")
 
 

@@ -426,6 +426,84 @@ def test_url_parts_and_rules(spark):
     assert urls.filter_urls(df).columns == df.columns
 
 
+def judged_by_hand(rows, rules):
+    """The tree of the module's docstring, a dictionary of nodes at a time: page_id -> (template, branch, verdict)."""
+
+    def rule(host, path):
+        fits = [r for r in rules if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fits, key=len, default=None)
+
+    def differs(n, b, all_n, all_b):
+        rest = all_n - n
+        if not n or not rest:
+            return False
+        p = all_b / all_n
+        return abs(b / n - (all_b - b) / rest) > 1.96 * (p * (1 - p) * (1 / n + 1 / rest)) ** 0.5 + 1e-9
+
+    split = lambda u: ("", "") if not u or "://" not in u else (re.split(r"[/?#]", u.split("://", 1)[1], maxsplit=1)[0].lower(), re.match(r"[^/?#]*([^?#]*)", u.split("://", 1)[1])[1])
+    known = {}
+    for _, u in rows:
+        host, path = split(u)
+        r = rule(host, path)
+        known[host, path] = (int(r is not None), int(r is not None and rules[r] == "block"))
+    state = {k: ((), [("*" if re.search("[0-9]", s) else s) for s in k[1].split("/") if s]) for k in known}
+    depth = 0
+    while True:
+        children = {}
+        for (host, path), (node, left) in state.items():
+            if left:
+                children.setdefault((host, node), {}).setdefault(left[0], []).append(known[host, path])
+        if max((len(v) for c in children.values() for v in c.values()), default=0) <= 1:
+            break
+        wild = {}
+        for at, c in children.items():
+            sizes = [len(v) for s, v in c.items() if s != "*"]
+            every = [x for v in c.values() for x in v]
+            all_n, all_b = sum(n for n, _ in every), sum(b for _, b in every)
+            if len(sizes) >= 8 and sum(sizes) ** 2 >= 0.5 * len(sizes) * sum(x * x for x in sizes):
+                wild[at] = {s for s, v in c.items() if not differs(sum(n for n, _ in v), sum(b for _, b in v), all_n, all_b)}
+        state = {(h, p): ((*node, "*" if left[0] in wild.get((h, node), ()) else left[0]), left[1:]) if left else (node, left) for (h, p), (node, left) in state.items()}
+        depth += 1
+    depth += 1
+    parts = {k: (*node, *left) for k, (node, left) in state.items()}
+    leaves = {}
+    for k, t in parts.items():
+        n, b = leaves.get((k[0], t), (0, 0))
+        leaves[k[0], t] = (n + known[k][0], b + known[k][1])
+    open_ = {}
+    for (h, t), (n, b) in leaves.items():
+        if n:
+            m, c = open_.get((h, t[:depth]), (0, 0))
+            open_[h, t[:depth]] = (n + m, b + c)
+    closed = {}
+    for k in range(depth, 0, -1):
+        around, now = {}, {}
+        for (h, t), (n, b) in open_.items():
+            if len(t) >= k - 1:
+                m, c = around.get((h, t[: k - 1]), (0, 0))
+                around[h, t[: k - 1]] = (n + m, b + c)
+        for (h, t), (n, b) in open_.items():
+            if len(t) == k and differs(n, b, *around[h, t[: k - 1]]):
+                closed[h, t] = (n, b)
+                continue
+            at = (h, t[: k - 1]) if len(t) == k else (h, t)
+            m, c = now.get(at, (0, 0))
+            now[at] = (n + m, b + c)
+        open_ = now
+    closed |= open_
+    out = {}
+    for i, u in rows:
+        k = split(u)
+        t = parts[k]
+        everywhere = [x for (_, s), x in leaves.items() if s == t]
+        prior = sum(b for _, b in everywhere) / (sum(n for n, _ in everywhere) + 2.0)
+        branch = next((t[:d] for d in range(min(len(t), depth), -1, -1) if (k[0], t[:d]) in closed), ())
+        n, b = closed.get((k[0], branch), (0, 0))
+        r = rule(*k)
+        out[i] = ("".join("/" + s for s in t), "".join("/" + s for s in branch), rules[r] if r else "block" if (b + 2.0 * prior) / (n + 2.0) >= 0.5 else "allow")
+    return out
+
+
 def test_url_templates(spark):
     rows = [(i, f"http://a.com/{'bad' if i % 2 else 'good'}/item{i}/x") for i in range(200)] + [(1000 + i, f"http://b.com/user-{chr(97 + i % 26)}{chr(97 + i // 26)}/") for i in range(100)]
     rules = {"a.com/bad/item1": "block", "a.com/good/item1": "allow", "a.com/good/item2": "allow"}
@@ -434,6 +512,38 @@ def test_url_templates(spark):
     assert got[4].template == "/good/*/x" and got[4].verdict == "allow" and got[1000].template == "/*"
 
 
+def test_url_tree_against_brute_force(spark):
+    rng = random.Random(6)
+    slug = lambda: "".join(rng.choices("abcdefg", k=4))
+    # labels that differ only at the fifth segment; slugs with many pages each; copies of urls; paths of many segments
+    made = [f"http://deep.com/a/b/c/{'bad' if i % 2 else 'good'}/x{i % 50}/{i}" for i in range(100)]
+    made += [f"http://shop.com/{s}/p{i}" for s in {slug() for _ in range(30)} for i in range(6)] * 2
+    made += [f"http://mix.com/{rng.choice('abc')}/{slug()}/{rng.choice(['x', 'y', '7'])}" for _ in range(150)] + ["http://mix.com/a", "http://mix.com/", "http://mix.com", "HTTP://MIX.com/a?b", None, "x", "", None]
+    made += ["http://long.com/" + "/".join(["s"] * 40), "http://long.com/" + "/".join(["t"] * 400)]
+    rules = {"deep.com/a/b/c/bad/x1": "block", "deep.com/a/b/c/good/x2": "allow", "mix.com/a/": "block", "mix.com/b/a": "allow", "mix.com/c/b": "block"}
+    rows = list(enumerate(made))
+    wanted = judged_by_hand(rows, rules)
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("path", F.lit(1)).withColumn("n", F.lit(1))
+    got = urls.judge_urls(df, rules).collect()
+    assert len(got) == len(rows) and {r.page_id: (r.template, r.branch, r.verdict) for r in got} == wanted
+    deep = {r.page_id: r.verdict for r in got if r.host == "deep.com"}
+    assert all(v == ("block" if i % 2 else "allow") for i, v in deep.items())
+    assert {r.template for r in got if r.host == "shop.com"} == {"/*/*"}
+    kept = urls.filter_urls(df, rules).collect()
+    assert sorted(r.page_id for r in kept) == sorted(i for i, v in wanted.items() if v[2] == "allow") and len(kept[0]) == 5
+
+
+def test_url_tree_without_broadcasts(spark, monkeypatch):
+    rows = [(i, f"http://h.com/{'bad' if i % 2 else 'good'}/item{i % 40}/x" if i % 3 else None) for i in range(300)]
+    rules = {"h.com/bad/item1": "block", "h.com/good/item2": "allow"}
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    monkeypatch.setattr(urls, "BROADCAST_LIMIT", -1)
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    monkeypatch.setattr(common, "HOT", 8)
+    got = {r.page_id: (r.template, r.branch, r.verdict) for r in urls.judge_urls(df, rules).collect()}
+    assert got == judged_by_hand(rows, rules)
+
+
 # --- 6: html ---
 
 
@@ -444,7 +554,12 @@ def test_url_templates(spark):
         ("<body><div class='sidebar'>x</div><main><p>a</p><div id=comments>c</div></main>", "a"),
         ("<p>a<script>var t='</p>';</script>b</p><!-- c --><form>d</form>", "ab"),
         ("<article><div class=ad>x</div><ul><li>a<li>b</ul>c</article><aside>d</aside>", "a\n\nb\n\nc"),
-        ("<article><p>a<div hidden>b</div><p style='display: none'>c</p>", "a"),
+        ("<article><p>a<div hidden>b</div><p style='display: none'>c</p>", "a\n\nb\n\nc"),
+        ("<article><p class='share social related'>a</p><div class='no-header'>b</div></article>", "a\n\nb"),
+        (f"<article data-x='{'>' * 20_000}'><p title=\"a>b\">hi</p><p it's>there</p></article>", "hi\n\nthere"),
+        ("<p>a</p><a href=\"x>b</a><p>c</p>", "a\n\nb\n\nc"),
+        ("<p>a <b", "a <b"),
+        ("<p>a</p><!-- b", "a"),
         ("plain < text", "plain < text"),
         ("", ""),
         ("<article></article>", ""),
@@ -475,11 +590,90 @@ def test_templates_inside_articles(spark):
     assert all(got[200 + i] == f"Text {i} with Note in it." for i in range(60))
 
 
+def brute_templates(pages):
+    """Per host: hashes outside and inside articles that are needed often enough, with companies sought pair by pair."""
+    by_host = {}
+    for host, page in pages:
+        by_host.setdefault(host, []).append(html.parsed(page or ""))
+    need = lambda n: min(1000, max(3, 0.1 * n, min(8, n / 2)))
+    out = {}
+    for host, roots in by_host.items():
+        seen, companies, wholes = {}, {}, [set() for _ in html.ORDERS]
+        for root in roots:
+            html.hashed(root)
+            every = list(html.subtrees(root))
+            inside = [e for e, i in every if i]
+            within = lambda e: {id(e)} | {x for c in e.children if not isinstance(c, str) for x in within(c)}  # noqa: E731, B023
+            leaves = [e for e in inside if not any(id(x) in within(e) for x in inside if x is not e)]
+            for x in {html.number(e) for e, i in every if not i}:
+                seen[x] = seen.get(x, 0) + 1
+            for k, order in enumerate(html.ORDERS):
+                mixed = lambda e: int(html.mix64(np.array([html.number(e)], np.int64).view(np.uint64) ^ order)[0])  # noqa: E731, B023
+                if leaves:
+                    wholes[k].add(min(map(mixed, leaves)))
+                mine = {}
+                for e in inside:
+                    others = [mixed(x) for x in leaves if id(x) not in within(e)]
+                    mine.setdefault(html.number(e), []).append(min(others, default=1 << 64))
+                for x, c in mine.items():
+                    companies.setdefault(x, [set() for _ in html.ORDERS])[k].add(min(c))
+        n = max(map(len, wholes))
+        often = {x for x, c in companies.items() if max(len(s - {1 << 64}) for s in c) >= need(n)}
+        out[host] = ({x for x, c in seen.items() if c >= need(len(roots))}, often)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(9)
+    shared = [f"<div><p>part {i}</p><p>more {i}</p></div>" for i in range(6)]
+    rows = []
+    for host, n in (("h.com", 40), ("i.com", 6), ("j.com", 2), ("k.com", 15)):
+        for i in range(n):
+            own = "".join(f"<p>{host} {i if rng.random() < 0.8 else 0} {j}</p>" for j in range(rng.randint(0, 4)))
+            parts = [s for s in shared if rng.random() < 0.4]
+            rows.append((len(rows), f"http://{host}/", f"<nav>{parts[0] if parts else ''}menu</nav><article><h1>{i}</h1>{own}{''.join(parts)}</article><div>{rng.choice(shared)}</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html.host_of(F.col("url")))
+    wanted = {h: x for h, x in brute_templates([(u.split("/")[2], p) for _, u, p in rows]).items() if any(x)}
+    got = {r.host: (set(r.outside), set(r.inside)) for r in html.site_templates(df).collect()}
+    assert got == wanted and any(i for _, i in got.values())
+    texts = {r.page_id: r.text for r in html.extract_text(df).collect()}
+    assert all(texts[i] == html.main_text(p, *map(frozenset, wanted.get(u.split("/")[2], ((), ())))) for i, u, p in rows)
+
+
+def test_templates_alone_give_the_text(spark, monkeypatch):
+    """Without any word list, what recurs on a host's pages goes, and nothing else."""
+    for name in ("NAMES", "ROLES", "DROPPED"):
+        monkeypatch.setattr(html, name, frozenset())
+    templates = "<header><h2>The site</h2></header><nav><ul><li>Home<li>News</ul></nav><div>Subscribe</div>", "<footer>&copy; The site</footer>"
+    rows = [(i, "http://h.com/", f"<body>{templates[0]}<section><p>Own {i}.</p><p>And more of {i}.</p></section>{templates[1]}</body>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h.com"))
+    (found,) = html.site_templates(df).collect()
+    assert all(html.main_text(p, frozenset(found.outside), frozenset(found.inside)) == f"Own {i}.\n\nAnd more of {i}." for i, _, p in rows)
+    assert html.main_text(rows[0][2]).startswith("Home")
+
+
+def test_near_copies_are_no_templates(spark):
+    rng = random.Random(4)
+    base = [f"<p>Paragraph {i} of the article.</p>" for i in range(12)]
+    rows = [(i, "http://h.com/", "<article>" + "".join(f"<p>edit {i} {j}</p>" if rng.random() < 0.05 else p for j, p in enumerate(base)) + "</article>") for i in range(12)]
+    rows += [(100 + i, "http://h.com/", "<article>" + "".join(f"<p>text {i} {j}</p>" for j in range(8)) + "</article>") for i in range(60)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == html.main_text(p) for i, _, p in rows)
+
+
 def test_deep_html():
     assert html.main_text("<div>" * 20_000 + "x") == "x"
     assert html.main_text("<p>" + "a " * 50_000).startswith("a a")
 
 
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a b='" * 100_000, "<a b=\"x" * 100_000 + ">", "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 30_000 + "<p>" * 30_000, "<!--" * 200_000, "<" * 500_000, "&" * 300_000, "<div>" * 30_000 + "</p>" * 30_000])
+def test_pages_are_read_once(page):
+    began = time.time()
+    html.counted(page)
+    html.main_text(page)
+    assert time.time() - began < 15
+
+
 # --- empty tables ---
 
 
