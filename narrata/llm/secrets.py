@@ -1,8 +1,9 @@
 """Secret scans: pattern spans, and literals that source or configuration text assigns to sensitive names.
 
 The lexer reads name-literal pairs (name = "x", "name": x, name => 'x', <name>x</name>, export NAME=x) and, where the
-right side is made of names, the literals those names are bound to anywhere in the text (constants, also by several
-steps and joined by +). A literal is reported if the name it reaches is sensitive enough and it looks like a secret.
+right side is made of names, the literals that those names are bound to there (constants, also by several steps and
+joined by +; see literal_spans). A literal is reported if a name it reaches is sensitive enough and it looks like a secret.
+All of it is linear in the text, and names and literals have any length.
 
 Defined cases: null text is empty (no spans); repeated rows each get the same spans; offsets are code points, end
 exclusive; other columns are ignored, or kept by redact_secrets.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,8 +91,8 @@ def base_spans(text: str, lower: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """Names, each with the terms of its right side: (text, start, end, quoted)."""
+def pairs(text: str) -> Iterator[tuple[str, int, bool, list[tuple[str, int, int, bool]]]]:
+    """Bindings in order: name, place, whether it is indented, and the terms of the right side: (text, start, end, quoted)."""
     for m in PAIR.finditer(text):
         at, terms = m.end(), []
         while t := TERM.match(text, at):
@@ -101,40 +103,51 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
                 break
             at = p.end()
         if terms:
-            yield m[2], terms
+            yield m[2], m.start(), m.start() > 0 and text[m.start() - 1] in " \t", terms
     for m in ELEMENT.finditer(text):
-        yield m[1], [(m[2], *m.span(2), False)]
+        yield m[1], m.start(), True, [(m[2], *m.span(2), False)]
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of literals that reach a sensitive name."""
-    bound = list(pairs(text))
-    if not bound:
-        return []
-    names = {n for n, _ in bound}
-    reach: dict[str, float] = {}
-    for n in names:
-        reach[n] = name_score(n)
-    # a constant is as sensitive as the most sensitive name its value flows to
-    flows = [(n, t) for n, terms in bound for t, _, _, quoted in terms if not quoted and t in names and t != n]
-    changed = bool(flows)
-    while changed:
-        changed = False
-        for to, of in flows:
-            if reach[to] > reach[of]:
-                reach[of] = reach[to]
-                changed = True
-    return sorted({(a, 3, b) for n, terms in bound if reach[n] >= SENSITIVE for t, a, b, quoted in terms if (quoted or t not in names) and literal_score(t, quoted) >= LIKELY})
-
-
-def beyond(s: tuple[int, int, int], base: list[tuple[int, int, int]]) -> bool:
-    """Whether part of a literal lies in no base span. base: sorted."""
-    at = s[0]
+    """(start, kind, end) of literals that reach a sensitive name.
+
+    A name on a right side stands for its last binding before (for its first one, if all come later). A binding that is
+    indented may be conditional, so those of the same name before it still count; one that is not hides them. A binding is
+    as sensitive as the most sensitive name that its value flows to: from sensitive names backwards, each binding once.
+    """
+    bound = sorted(pairs(text), key=lambda b: b[1])
+    by_name: dict[str, list[int]] = {}
+    for i, (name, *_) in enumerate(bound):
+        by_name.setdefault(name, []).append(i)
+    before = dict.fromkeys(range(len(bound)), -1)
+    for places in by_name.values():
+        for earlier, i in zip(places, places[1:], strict=False):
+            before[i] = earlier if bound[i][2] else -1
+    open_ = [i for i, (name, *_) in enumerate(bound) if name_score(name) >= SENSITIVE]
+    reached = set(open_)
+    while open_:
+        i = open_.pop()
+        sources = [before[i]]
+        for t, _, _, quoted in bound[i][3]:
+            if not quoted and (places := by_name.get(t)):
+                sources.append(places[max(0, bisect_left(places, i) - 1)])
+        for j in sources:
+            if j >= 0 and j not in reached:
+                reached.add(j)
+                open_.append(j)
+    return sorted({(a, 3, b) for i in reached for t, a, b, quoted in bound[i][3] if (quoted or t not in by_name) and literal_score(t, quoted) >= LIKELY})
+
+
+def beyond(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of the literals found, those of which a part lies in no base span. base: sorted."""
+    starts, ends = [], []
     for a, _, b in base:
-        if a > at:
-            break
-        at = max(at, b)
-    return at < s[2]
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [s for s in found if not (i := bisect_right(starts, s[0])) or ends[i - 1] < s[2]]
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -143,7 +156,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     base = base_spans(text, lower)
     added = []
     if ("=" in text or ":" in text or "</" in text) and may_name(lower):
-        added = [s for s in literal_spans(text) if beyond(s, base)]
+        added = beyond(literal_spans(text), base)
     return base, added
 
 

@@ -368,6 +368,36 @@ def test_every_sensitive_name_is_read(name, form):
     assert [source[a:b] for a, _, b in added] == [value]
 
 
+@pytest.mark.parametrize(
+    ("source", "found"),
+    [
+        ('x = "Zk2LmP09xxYy7q"\nx = "plainQ8Zk2Lm99a"\npassword = x', ["plainQ8Zk2Lm99a"]),
+        ('x = "Zk2LmP09xxYy7q"\npassword = x\nx = "plainQ8Zk2Lm99a"', ["Zk2LmP09xxYy7q"]),
+        ('if a:\n  x = "Zk2LmP09xxYy7q"\nelse:\n  x = "plainQ8Zk2Lm99a"\npassword = x', ["Zk2LmP09xxYy7q", "plainQ8Zk2Lm99a"]),
+        ('password = x\nx = "Zk2LmP09xxYy7q"', ["Zk2LmP09xxYy7q"]),
+        ('x = y\ny = x\npassword = y', []),
+    ],
+)
+def test_bindings_in_order(source, found):
+    assert [source[a:b] for a, _, b in secrets.literal_spans(source)] == found
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'n0 = "Zk2LmP09xxYy7q"\n' + "".join(f"n{i + 1} = n{i}\n" for i in range(50_000)) + "password = n50000",
+        'y = "Zk2LmP09xxYy7q"\n' + "  x = x + y\n" * 80_000 + "password = x",
+        "api_key = 'Zk2LmP09xxYy7q' " * 40_000,
+        'a="' * 300_000 + "password",
+        "<aa>" * 250_000 + "password=</",
+    ],
+)
+def test_a_megabyte_of_bindings(text):
+    began = time.time()
+    secrets.spans(text)
+    assert time.time() - began < 15
+
+
 def test_long_runs_are_read_once():
     started = time.process_time()
     for run in ("a" * 400_000, "<a" * 200_000, "'a" * 200_000, "a." * 200_000):
