@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.chunking import chunks, digest, plan, with_plan
+from narrata.llm.chunking import chunks, digest, fetched, plan, with_plan
 from narrata.llm.common import lean, stage, table, text_key
 
 HOW = {"bits": 10, "least": 256, "most": 8192, "chars": True}
@@ -61,6 +61,8 @@ class Codec:
         self.of.no_truncation()
         self.of.no_padding()
         says = json.loads(self.of.to_str())
+        if says["decoder"] is not None:
+            raise ValueError(f"{path}: only tokenizers without a decoder are supported, whose tokens are joined by a space")
         split, byte_level = ((says["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])[:2]
         self.ascii = says["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": PATTERN} and byte_level.get("type") == "ByteLevel" and not byte_level["add_prefix_space"]
         self.special = [t["content"].encode() for t in says["added_tokens"]]
@@ -71,6 +73,8 @@ class Codec:
         self.numbers = [b"%d" % i for i in range(n)]
 
     def split(self, data: bytes) -> list[bytes]:
+        # a long word with other characters goes to the library as a whole, as looking ahead in it would be quadratic; the
+        # ids are the same either way
         if self.ascii and not any(s in data for s in self.special):
             if data.isascii():
                 return ASCII_PIECES.findall(data.lower())
@@ -177,7 +181,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     columns = [f.split()[0] for f in OUT.split(", ")]
     open_ = staged.where("kind = 1").select("doc_id", "key", "pieces", "need")
     once = staged.where("kind = 2").select("digest", F.col("pieces")[0].alias("piece")).dropDuplicates(["digest"])
-    others = open_.select("key", F.explode("need").alias("digest")).distinct().join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "piece")).alias("others"))
+    others = fetched(open_, once, "piece")
     closed = open_.join(others, "key").select("doc_id", "pieces", "others").mapInArrow(lean(partial(_join, path=tokenizer)), OUT)
     return staged.where("kind = 0").select(columns).unionByName(closed)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import lean, mix64, small, stage
+from narrata.llm.common import hot_join, hot_keys, lean, mix64, small, stage
 
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 #: The hash at a byte depends on this many bytes up to it.
@@ -88,13 +88,25 @@ def plan(docs: DataFrame, prepare, how: dict) -> tuple[DataFrame, int]:
     """
     each = docs.select("key", "text").mapInArrow(lean(partial(_digests, prepare=prepare, how=how)), "key binary, digests array<binary>").select("key", F.explode("digests").alias("digest"))
     each = stage(each, "chunk-digests")
-    shared = each.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1")
-    refs = each.join(shared, "digest").select("key", F.struct("digest", (F.col("key") == F.col("owner")).alias("owned")).alias("chunk"))
+    shared = stage(each.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1"), "chunk-shared")
+    hot = hot_keys(shared.select("digest", "n"), "digest", each.count())
+    refs = hot_join(each, shared.drop("n"), "digest", "key", hot).select("key", F.struct("digest", (F.col("key") == F.col("owner")).alias("owned")).alias("chunk"))
     out = stage(refs.groupBy("key").agg(F.collect_set("chunk").alias("chunks")), "chunk-plan")
     n = out.agg(F.sum(F.size("chunks") * 24 + 48)).head()[0] or 0
     return out, n
 
 
+def fetched(needs: DataFrame, once: DataFrame, held: str) -> DataFrame:
+    """(key, others array of (digest, held)): what each key needs of the shared chunks. needs: key, need; once: digest, held.
+
+    A passage in very many documents is a hot key: see common.hot_join.
+    """
+    n = needs.agg(F.sum(F.size("need"))).head()[0] or 0
+    each = needs.select("key", F.explode("need").alias("digest"))
+    hot = stage(hot_keys(each.groupBy("digest").agg(F.count("*").alias("n")), "digest", n), "hot-chunks")
+    return hot_join(each.distinct(), once, "digest", "key", hot).groupBy("key").agg(F.collect_list(F.struct("digest", held)).alias("others"))
+
+
 def with_plan(docs: DataFrame, planned: tuple[DataFrame, int]) -> DataFrame:
     """docs with the chunks of plan(); broadcast only if small, else joined by key in a shuffle."""
     return docs.join(small(*planned), "key", "left")

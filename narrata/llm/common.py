@@ -7,6 +7,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,16 @@ BROADCAST_LIMIT = 32 * 1024 * 1024
 #: A key of over 1 / HOT of a table's rows (and of over LEAST_HOT) is hot: its rows are split over several tasks.
 HOT, LEAST_HOT = 1024, 1000
 _local: list[str] = []
-_staged: list[str] = []
+
+
+class _Staged(threading.local):
+    """The paths that this thread has staged."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_staged = _Staged()
 
 
 #: Rows and bytes handed to a Python worker at a time: they bound its memory where single texts reach hundreds of kB.
@@ -43,7 +53,7 @@ def stage_dir(spark: SparkSession) -> str:
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="narrata-stage-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -54,7 +64,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
+    _staged.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,12 +83,22 @@ def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Deletes what this session has staged. For when results are written: they read staged tables until then."""
+def staged_so_far() -> int:
+    """A mark for clear_staged."""
+    return len(_staged.paths)
+
+
+def clear_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what this thread has staged after a mark, but for the last `keep` tables.
+
+    For when results are written: they read staged tables until then.
+    """
     conf = spark._jsc.hadoopConfiguration()
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    end = len(_staged.paths) - keep
+    for name in _staged.paths[since:end]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _staged.paths[since:end]
 
 
 def small(df: DataFrame, n_bytes: int) -> DataFrame:

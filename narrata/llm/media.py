@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.chunking import chunks, digest, plan, with_plan
+from narrata.llm.chunking import chunks, digest, fetched, plan, with_plan
 from narrata.llm.common import lean, stage, table, text_key
 
 HOW = {"bits": 11, "least": 512, "most": 16384, "chars": False}
@@ -101,7 +101,7 @@ def read_payloads(stored: DataFrame) -> DataFrame:
     """Rebuilds, verifies and measures every payload of a stored table."""
     docs = stored.where("kind = 0").select("doc_id", "key", "n_bytes", "listed", "own", "need")
     once = stored.where("kind = 1").select("digest", F.col("own")[0].alias("stored")).dropDuplicates(["digest"])
-    others = docs.where(F.size("need") > 0).select("key", F.explode("need").alias("digest")).distinct().join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "stored")).alias("others"))
+    others = fetched(docs.where(F.size("need") > 0), once, "stored")
     alone = docs.where(F.size("need") == 0).select("doc_id", "n_bytes", "listed", "own", F.lit(None).cast("array<struct<digest:binary,stored:binary>>").alias("others"))
     joined = docs.where(F.size("need") > 0).join(others, "key").select("doc_id", "n_bytes", "listed", "own", "others")
     return alone.mapInArrow(lean(_read), OUT).unionByName(joined.mapInArrow(lean(_read), OUT))
