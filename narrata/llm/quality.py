@@ -8,7 +8,8 @@ held-out fold, and its temperature is fitted on a fifth of them.
 
 Defined cases: null or white text pools to zeros and gets the network's score for that; labels with null ids or values, or
 of several values for one id, are left out of training; with no labels, or of one class only, every score is the share of
-label 1 (0.5 if there are none); repeated rows each get the same score; other columns are ignored.
+label 1 (0.5 if there are none); repeated rows each get the same score, and a labelled doc_id that repeats trains once, with
+its least text; other columns are ignored, or kept by keep_good.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from narrata.llm.common import lean, stage, table
 from narrata.llm.minhash import Words
@@ -145,12 +147,12 @@ def trained(x: np.ndarray, y: np.ndarray, seed: int = 0) -> dict:
     return net
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, column: str) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model, column: str, out: str) -> Iterator[pa.RecordBatch]:
     words = Words()
     vectors, network = model.value
     for b in batches:
         s = scores(network, pooled(b.column(column).to_pylist(), vectors, words))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "_score"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out])
 
 
 def held_out(doc_id) -> "F.Column":
@@ -164,25 +166,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     shared = spark.sparkContext.broadcast(vectors)
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("m")).where("quality = m")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(stage(known, "labelled")), "doc_id").select("quality", "text").mapInArrow(lean(partial(_features, vectors=shared)), "quality int, x array<double>").collect()
+    known = docs.select("doc_id", "text").join(F.broadcast(stage(known, "labelled")), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    rows = known.select("quality", "text").mapInArrow(lean(partial(_features, vectors=shared)), "quality int, x array<double>").collect()
     x, y = np.array([r.x for r in rows]).reshape(len(rows), FEATURES), np.array([r.quality for r in rows])
     order = np.lexsort((*x.T, y))  # rows come in any order
     return spark.sparkContext.broadcast((vectors, trained(x[order], y[order])))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs with a score from 0 to 1 in _score."""
+def score_quality(docs: DataFrame, labels: DataFrame, out: str = "_score", **how) -> DataFrame:
+    """docs with a score from 0 to 1 in a last column, out; docs may have no column of that name."""
     model = fit(docs, labels, **how)
-    return docs.mapInArrow(lean(partial(_scored, model=model, column="text")), _with_score(docs))
-
-
-def _with_score(docs: DataFrame) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_score double"])
+    schema = StructType([*docs.schema, StructField(out, DoubleType())])
+    return docs.mapInArrow(lean(partial(_scored, model=model, column="text", out=out)), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs whose score is 0.5 or more."""
-    return score_quality(docs, labels, **how).where("_score >= 0.5").select(docs.columns)
+    out = "_score"
+    while out in {c.lower() for c in docs.columns}:
+        out += "_"
+    return score_quality(docs, labels, out, **how).where(F.col(out) >= 0.5).select(docs.columns)
 
 
 def op8_quality_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:

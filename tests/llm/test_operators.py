@@ -431,6 +431,14 @@ def test_quality(spark):
         assert r.doc_id is None or r.held == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+def test_quality_with_clashing_columns_and_repeated_ids(spark):
+    docs = documents(spark, [(i % 15, f"word{i % 3} and more {i}") for i in range(40)]).withColumn("_score", F.lit("x")).withColumn("quality", F.lit(7))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(15)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 40
+    assert quality.score_quality(docs, labels, "s").count() == 40
+
+
 def test_quality_without_labels(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -719,12 +727,14 @@ def test_empty_tables(spark, tokenizer):
 
 
 def test_clear_staged(spark):
-    from narrata.llm import common
-
     kept = common.stage(spark.range(5), "x")
-    path = common._staged[-1]
-    assert kept.count() == 5
+    path = common._staged.paths[-1]
+    mark = common.staged_so_far()
+    common.stage(spark.range(5), "y")
+    last = common.stage(spark.range(6), "z")
+    common.clear_staged(spark, mark, keep=1)
+    assert last.count() == 6 and kept.count() == 5 and common.staged_so_far() == mark + 1
     common.clear_staged(spark)
-    assert not common._staged
+    assert not common._staged.paths
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
