@@ -6,8 +6,11 @@ in Spark and in SQL.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from narrata.functions import letters, rx, speech, whitespace
 from narrata.functions import numbers_ru as ru
 from narrata.operators import chapters, identity, jobs, sentences, timeline
 from narrata.session import tuned
-from narrata.sources import sinks, text
+from narrata.sources import books, sinks, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,43 +73,46 @@ def sentence_counts(spark, t):
     return s.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
-PACK = """list_reduce(list_transform(ps, lambda p: {'k': 0::BIGINT, 'l': length(p), 'm': 0::BIGINT}), lambda acc, e: CASE WHEN acc.l = 0 OR acc.l + e.l + 1 <= 800 THEN {'k': acc.k, 'l': acc.l + e.l + 1, 'm': acc.m}
-  ELSE {'k': acc.k + 1, 'l': e.l + 1, 'm': greatest(acc.m, acc.l - 1)} END, {'k': 1::BIGINT, 'l': 0::BIGINT, 'm': 0::BIGINT})"""
+def hard_sql(x: str, most: int) -> str:
+    """The hard split of a text as SQL: a list of texts."""
+    step = f"""CASE WHEN length(w.cur) > {most} THEN {{'out': list_concat(list_concat(a.out, CASE WHEN a.held THEN [a.cur] ELSE [] END), list_transform(range(0, length(w.cur), {most}), lambda i: substr(w.cur, i::INT + 1, {most}))), 'cur': '', 'n': 0::BIGINT, 'held': false}}
+  WHEN a.held AND a.n + length(w.cur) + 1 > {most} THEN {{'out': list_append(a.out, a.cur), 'cur': w.cur, 'n': length(w.cur) + 1, 'held': true}}
+  ELSE {{'out': a.out, 'cur': CASE WHEN a.held THEN a.cur || ' ' || w.cur ELSE w.cur END, 'n': a.n + length(w.cur) + 1, 'held': true}} END"""
+    words = f"list_transform(string_split({x}, ' '), lambda w: {{'out': []::VARCHAR[], 'cur': w, 'n': 0::BIGINT, 'held': true}})"
+    fold = f"list_reduce({words}, lambda a, w: {step}, {{'out': []::VARCHAR[], 'cur': '', 'n': 0::BIGINT, 'held': false}})"
+    return f"CASE WHEN length({x}) <= {most} THEN [{x}] ELSE list_transform([{fold}], lambda f: CASE WHEN f.held THEN list_append(f.out, f.cur) ELSE f.out END)[1] END"
 
 
-@query(rf"""WITH s AS (SELECT source, doc_id, list_filter({SENTENCES}, lambda p: length(p) <= 1000) AS ps FROM documents), p AS (SELECT source, {PACK} AS f FROM s WHERE len(ps) > 0)
-SELECT source, CAST(sum(f.k) AS BIGINT) AS chunks, CAST(max(greatest(f.m, f.l - 1)) AS BIGINT) AS longest FROM p GROUP BY source""", heavy=True)
-def chunk_plan_sizes(spark, t):
-    pieces = F.filter(sentences.sentences(F.col("text")), lambda p: F.length(p) <= 1000)
-    chunks = t("documents").select("source", "doc_id", pieces.alias("ps")).select("source", "doc_id", F.explode(sentences.packed(F.col("ps"))).alias("c"))
-    return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.max(F.length("c")).cast("long").alias("longest"))
+PIECES = "flatten(list_transform(ps, lambda p: " + hard_sql("p", 1000) + "))"
+#: ls, a list of pieces, as a list of chunks.
+PACK = """list_transform([list_reduce(list_transform(ls, lambda p: {'out': []::VARCHAR[], 'buf': [p], 'n': 0::BIGINT}), lambda a, p: CASE WHEN a.n > 0 AND a.n + length(p.buf[1]) + 1 > 800
+  THEN {'out': list_append(a.out, array_to_string(a.buf, ' ')), 'buf': p.buf, 'n': length(p.buf[1]) + 1} ELSE {'out': a.out, 'buf': list_concat(a.buf, p.buf), 'n': a.n + length(p.buf[1]) + 1} END, {'out': []::VARCHAR[], 'buf': []::VARCHAR[], 'n': 0::BIGINT})],
+  lambda f: CASE WHEN f.n > 0 THEN list_append(f.out, array_to_string(f.buf, ' ')) ELSE f.out END)[1]"""
 
 
-@query(heavy=True)
-def chunk_plan_sizes_whole(spark, t):
-    """chunk_plan_sizes without its bound: sentences of any length, split hard as in the plan. No SQL states that split."""
+@query(rf"""WITH s AS (SELECT source, {SENTENCES} AS ps FROM documents), p AS (SELECT source, {PIECES} AS ls FROM s), c AS (SELECT source, unnest({PACK}) AS c FROM p)
+SELECT source, count(*) AS chunks, max(length(c)) AS longest FROM c GROUP BY source""", heavy=True)
+def chunk_plan_sizes(spark, t):
+    """The chunks of every text: sentences of any length, split hard where they are longer than a chunk may be."""
     chunks = t("documents").select("source", F.explode(sentences.packed(sentences.pieces(F.col("text")))).alias("c"))
     return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.max(F.length("c")).cast("long").alias("longest"))
 
 
-@query(heavy=True)
+@query(rf"""WITH b AS (SELECT doc_id, regexp_replace(text || ' ' || repeat('word ', 300) || repeat('y', 2500) || '.', '^\s+|\s+$', '', 'g') AS text FROM documents),
+k AS (SELECT doc_id, 0 AS chapter_index, 'Глава 1' AS title, text FROM b UNION ALL SELECT doc_id, 1, 'Часть вторая. Глава 2', 'Конец ' || doc_id || ' и всё' FROM b),
+s AS (SELECT doc_id, chapter_index, title, {SENTENCES} AS ps FROM k), p AS (SELECT *, {PIECES} AS ls FROM s), c AS (SELECT doc_id, chapter_index, title, {PACK} AS cs FROM p),
+u AS (SELECT doc_id, chapter_index, title, unnest(cs) AS text, generate_subscripts(cs, 1) AS pos FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chapter_index, pos) - 1 AS INT) AS index, CAST(chapter_index AS INT) AS chapter_index, CASE WHEN pos = 1 THEN title END AS chapter_title, text FROM u""", heavy=True)
 def chunk_plan(spark, t):
-    """The whole plan of every document, chapters and titles included."""
-    return sentences.build_plan(chapters.chapter_rows(t("documents")))
+    """The whole plan of every document, as a book of two chapters: the text, with a sentence and a word that are too long, and an end."""
+    book = F.concat(F.lit("Глава 1\n"), "text", F.lit(" "), F.repeat(F.lit("word "), F.lit(300)), F.repeat(F.lit("y"), F.lit(2500)), F.lit(".\nЧасть вторая\nГлава 2\nКонец "), F.col("doc_id").cast("string"), F.lit(" и всё"))
+    return sentences.build_plan(chapters.chapter_rows(t("documents").select("doc_id", book.alias("text"))))
 
 
-@query(r"""WITH w AS (SELECT doc_id, [p_ for p_ in string_split(text, ' ') if length(p_) <= 200] AS ps FROM documents),
-f AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'k': 0::BIGINT, 'l': length(p)}), lambda acc, e: CASE WHEN acc.l = 0 OR acc.l + e.l + 1 <= 200 THEN {'k': acc.k, 'l': acc.l + e.l + 1} ELSE {'k': acc.k + 1, 'l': e.l + 1} END, {'k': 1::BIGINT, 'l': 0::BIGINT}) AS f FROM w WHERE len(ps) > 0)
-SELECT d.doc_id, CAST(CASE WHEN length(array_to_string(w.ps, ' ')) <= 200 THEN 1 ELSE f.f.k END AS BIGINT) AS pieces FROM documents d JOIN w USING (doc_id) JOIN f USING (doc_id)""", heavy=True)
+@query(f"SELECT doc_id, CAST(len({hard_sql('text', 200)}) AS BIGINT) AS pieces FROM (SELECT doc_id, text || ' ' || repeat('z', 450) || ' end' AS text FROM documents)", heavy=True)
 def chunk_hard_split(spark, t):
-    short = F.array_join(F.filter(F.split("text", " ", -1), lambda w: F.length(w) <= 200), " ")
-    return t("documents").select("doc_id", F.size(sentences.hard_split(short, 200)).cast("long").alias("pieces"))
-
-
-@query(heavy=True)
-def chunk_hard_split_whole(spark, t):
-    """chunk_hard_split without its bound: words of any length, in slices. No SQL states them."""
-    return t("documents").select("doc_id", F.size(sentences.hard_split(F.col("text"), 200)).cast("long").alias("pieces"))
+    """Every text, with a word that is too long, in pieces of at most 200 characters."""
+    return t("documents").select("doc_id", F.size(sentences.hard_split(F.concat("text", F.lit(" "), F.repeat(F.lit("z"), F.lit(450)), F.lit(" end")), 200)).cast("long").alias("pieces"))
 
 
 # --- clean-up rules ---------------------------------------------------------------------------------------------------
@@ -115,10 +121,8 @@ one("whitespace_normalize", "documents", "doc_id", lambda: whitespace.trailing_b
 one("tidy_spaces", "documents", "doc_id", lambda: whitespace.tidy(F.concat(F.lit("  "), F.replace("text", F.lit(". "), F.lit(".   ")), F.lit("\n\n\n\nend "))), r"regexp_replace(regexp_replace(regexp_replace('  ' || replace(text, '. ', '.   ') || repeat(chr(10), 4) || 'end ', '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')")
 one("reflow_lines", "documents", "doc_id", lambda: whitespace.reflowed(F.replace("text", F.lit(" a"), F.lit("\na"))), r"""array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(replace(text, ' a', chr(10) || 'a'), '\n\s*\n'), lambda p: list_filter(list_transform(string_split(p, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '')), lambda p: len(p) > 0),
   lambda p: list_reduce(p, lambda a, l: a || CASE WHEN regexp_matches(l, '^[—–-]\s') OR regexp_matches(a, '[.!?…»"”)]$') THEN chr(10) ELSE ' ' END || l)), chr(10) || chr(10))""")
-one("quote_normalize", "documents", "doc_id", lambda: whitespace.quotes(F.concat(F.lit("“"), F.substring("text", 1, 40), F.lit("” „x‟ ‘’ it’s"))), "replace(translate('“' || substr(text, 1, 40) || '” „x‟ ‘’ it’s', '“”„‟‘’‚‛', '«»«»'''''''''), '''''', '\"')")
-one("quote_normalize_whole", "documents", "doc_id", lambda: whitespace.quotes(F.concat(F.lit("“"), "text", F.lit("” „x‟ ‘’ it’s"))), "replace(translate('“' || text || '” „x‟ ‘’ it’s', '“”„‟‘’‚‛', '«»«»'''''''''), '''''', '\"')")
-one("punctuation_ligatures", "documents", "doc_id", lambda: whitespace.ligatures(F.concat(F.substring("text", 1, 30), F.lit("⁈ ⁉ ‼ ⁇"))), "substr(text, 1, 30) || '?! !? !! ??'")
-one("punctuation_ligatures_whole", "documents", "doc_id", lambda: whitespace.ligatures(F.concat("text", F.lit("⁈ ⁉ ‼ ⁇"))), "replace(replace(replace(replace(text || '⁈ ⁉ ‼ ⁇', '⁈', '?!'), '⁉', '!?'), '‼', '!!'), '⁇', '??')")
+one("quote_normalize", "documents", "doc_id", lambda: whitespace.quotes(F.concat(F.lit("“"), "text", F.lit("” „x‟ ‘’ it’s"))), "replace(translate('“' || text || '” „x‟ ‘’ it’s', '“”„‟‘’‚‛', '«»«»'''''''''), '''''', '\"')")
+one("punctuation_ligatures", "documents", "doc_id", lambda: whitespace.ligatures(F.concat("text", F.lit("⁈ ⁉ ‼ ⁇"))), "replace(replace(replace(replace(text || '⁈ ⁉ ‼ ⁇', '⁈', '?!'), '⁉', '!?'), '‼', '!!'), '⁇', '??')")
 one("plus_spoken", "documents", "doc_id", lambda: whitespace.plus_spoken(F.col("text")), r"regexp_replace(text, '[ \t]*\+[ \t]*', ' плюс ', 'g')")
 one("transliterate_latin", "documents", "doc_id", lambda: letters.transliterated(F.col("text")), "translate(" + "replace(" * 16 + "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" + "".join(f", '{a}', '{b}')" for a, b in (*letters.DIGRAPHS, *letters.DOUBLE)) + f", '{letters.SINGLE[0]}', '{letters.SINGLE[1]}')")
 one("strip_footnote_markers", "orders", "o_orderkey", lambda: whitespace.without_notes(F.concat(F.lit("Слово["), (F.col("o_orderkey") % 1500).cast("string"), F.lit("] и { 12 } конец"))), r"regexp_replace('Слово[' || (o_orderkey % 1500) || '] и { 12 } конец', '[\[{]\s*\d{1,3}\s*[\]}]', '', 'g')")
@@ -138,16 +142,14 @@ one("prosody_sanitize", "documents", "doc_id", lambda: sentences.prosody(F.col("
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz,.!?:; "
 one("symbol_filter", "documents", "doc_id", lambda: sentences.within_symbols(F.col("text"), SYMBOLS), r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[—―‒−]', '–', 'g'), '[^a-zA-Z,.!?:; –]', ' ', 'g'), '\s+', ' ', 'g'), '\s+([,.!?:;])', '\1', 'g'), '([,.!?:;])(?:\s*[,.!?:;])+', '\1', 'g'), '^[\s,.:;!?–-]+', ''), '^\s+|\s+$', '', 'g')")
 one("speakable_filter", "documents", "doc_id", lambda: sentences.has_speakable(F.regexp_replace(F.col("text"), "[a-zA-Z]", "")), r"regexp_matches(regexp_replace(text, '[a-zA-Z]', '', 'g'), '[\p{L}\p{N}]')")
-one("metadata_text", "documents", "doc_id", lambda: letters.metadata_text(F.substring("text", 1, 90)), r"nullif(trim(regexp_replace(substr(text, 1, 90), '\s+', ' ', 'g')), '')")
-one("metadata_text_whole", "documents", "doc_id", lambda: letters.metadata_text(F.col("text")), r"nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')")
+one("metadata_text", "documents", "doc_id", lambda: letters.metadata_text(F.col("text")), r"nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')")
 one("first_line_title", "documents", "doc_id", lambda: F.concat_ws("|", F.coalesce(chapters.first_line_title(F.col("text"))["title"], F.lit("-")), F.length(chapters.first_line_title(F.col("text"))["body"]).cast("string")), r"""CASE WHEN length(regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '')) <= 80 THEN regexp_replace(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], '\s+$', '') ELSE '-' END || '|' ||
   CASE WHEN length(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1]) <= 80 AND instr(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) > 0
   THEN length(regexp_replace(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), length(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1]) + 1), '^\s+|\s+$', '', 'g')) ELSE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) END""")
 one("letter_ratio_score", "documents", "doc_id", lambda: F.round(letters.cyrillic_ratio(F.concat("text", F.lit("Привет"))), 6), r"round(CAST(length(regexp_replace(text || 'Привет', '[^\p{Cyrillic}]', '', 'g')) AS DOUBLE) / length(regexp_replace(text || 'Привет', '[^\p{L}]', '', 'g')), 6)")
 one("content_fingerprint", "documents", "doc_id", lambda: identity.fingerprint(F.encode("text", "UTF-8")), "sha256(text)")
 one("clip_text", "documents", "doc_id", lambda: letters.clipped(F.col("text"), 1000), "CASE WHEN length(text) > 1000 THEN substr(text, 1, 999) || '…' ELSE text END")
-one("escape_meta", "documents", "doc_id", lambda: letters.meta_escaped(F.concat(F.substring("text", 1, 60), F.lit("\r\n= a;b#c\\ "))), r"regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60) || chr(13) || chr(10) || '= a;b#c\ ', '([\\=;#])', '\\\1', 'g'), '\r\n|[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')")
-one("escape_meta_whole", "documents", "doc_id", lambda: letters.meta_escaped(F.concat("text", F.lit("\r\n= a;b#c\\ "))), r"regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || '= a;b#c\ ', '([\\=;#])', '\\\1', 'g'), '\r\n|[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')")
+one("escape_meta", "documents", "doc_id", lambda: letters.meta_escaped(F.concat("text", F.lit("\r\n= a;b#c\\ "))), r"regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || '= a;b#c\ ', '([\\=;#])', '\\\1', 'g'), '\r\n|[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')")
 one("html_to_text", "pages", "page_id", lambda: rx.strip(rx.sub(text.strip_html("html"), r"\s+", " ")), r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)\b.*?</(script|style|head)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
   '(?i)</?(address|article|blockquote|dd|div|dl|dt|h1|h2|h3|h4|h5|h6|header|li|main|ol|p|pre|section|table|td|th|tr|ul|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))""")
 one("safe_filename", "part", "p_partkey", lambda: letters.safe_filename(F.concat(F.lit(" ."), "p_name", F.lit("/: ..x"), "p_type", F.lit("? "))), r"""rtrim(substr(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(' .' || p_name || '/: ..x' || p_type || '? ', '[\\/:*?"<>|]', ' ', 'g'), '\s+', ' ', 'g')), '\.+', '.', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 120), '. ')""")
@@ -158,6 +160,84 @@ one("package_file", "part", "p_partkey", lambda: sinks.package_file(F.col("p_nam
 one("caption_fields", "part", "p_partkey", lambda: F.concat_ws("|", *(F.coalesce(F.element_at(text.caption_fields(F.concat(F.lit(" автор : x\nАвтор: "), "p_brand", F.lit("\nНазвание:"), "p_name", F.lit("\nЖанр: y\nСерия: "))), k), F.lit("-")) for k in ("author", "title", "series"))), "p_brand || '|' || p_name || '|-'")
 one("member_path_safe", "part", "p_partkey", lambda: identity.member_path_safe(pick(["../x.jpg", "a/../b.png", "/etc/x", "http://h/x", "a\\..\\..\\x", "c/d.xhtml"], "p_partkey", 1)), "[false, true, false, false, false, true][p_partkey % 6 + 1]")
 
+one("base_name", "part", "p_partkey", lambda: sinks.base_name(F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")), F.when(F.col("p_partkey") % 2 > 0, F.col("p_brand")).otherwise(F.lit("")), F.concat(F.lit("a/b."), F.col("p_partkey").cast("string"), F.lit(".fb2"))), "CASE WHEN p_partkey % 3 > 0 AND p_partkey % 2 > 0 THEN p_brand || ' - ' || p_name WHEN p_partkey % 3 > 0 THEN p_name ELSE 'b.' || p_partkey END")
+one("fitted_filename", "part", "p_partkey", lambda: letters.fitted_filename(F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_partkey") % 2 == 0, F.lit(".fb2")).otherwise(F.lit(".a_very_long_suffix"))), 36), """CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN length(p_name || ' ' || p_type) <= 32 THEN p_name || ' ' || p_type ELSE rtrim(substr(p_name || ' ' || p_type, 1, 32), ' .') END || '.fb2'
+  WHEN length(p_name || ' ' || p_type) <= 17 THEN p_name || ' ' || p_type || '.a_very_long_suffix' ELSE rtrim(substr(p_name || ' ' || p_type || '.a_very_long_suffix', 1, 36), ' .') END""")
+ESCAPED = "list_transform(string_split(p_name || ' & <' || p_type || '>', ''), lambda c: CASE c WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' ELSE c END)"
+one("escaped_excerpt", "part", "p_partkey", lambda: letters.escaped_excerpt(F.concat("p_name", F.lit(" & <"), "p_type", F.lit(">")), 30), f"""list_transform([list_reduce(list_transform({ESCAPED}, lambda u: {{'o': u, 'f': false}}), lambda a, u: CASE WHEN a.f OR length(a.o) + length(u.o) > 30 THEN {{'o': a.o, 'f': true}} ELSE {{'o': a.o || u.o, 'f': false}} END, {{'o': '', 'f': false}})], lambda a: a.o || CASE WHEN a.f THEN '...' ELSE '' END)[1]""")
+one("short_title", "documents", "doc_id", lambda: letters.clipped(letters.metadata_text(F.col("text")), 300), r"CASE WHEN length(nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')) > 300 THEN substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 299) || '…' ELSE nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') END")
+one("chunk_duration", "lineitem", "l_orderkey", lambda: F.round(timeline.duration(F.floor(F.col("l_extendedprice")), F.lit(24000), 1.25), 9), "round(floor(l_extendedprice) / 24000 / 1.25, 9)")
+CYRILLIC = "length(regexp_replace(x, '[^\\x{400}-\\x{4FF}]', '', 'g'))"
+one("text_score", "orders", "o_orderkey", lambda: F.round(letters.text_score(F.concat(F.element_at(F.array(F.lit("Привет, мир "), F.lit("пРИВЕТ ђ "), F.lit("plain text "), F.lit("▒▓\ufffd ")), (F.col("o_orderkey") % 4).cast("int") + 1), F.col("o_orderkey").cast("string"))), 6), f"""list_transform([['Привет, мир ', 'пРИВЕТ ђ ', 'plain text ', '▒▓�' || ' '][o_orderkey % 4 + 1] || o_orderkey], lambda x: round({CYRILLIC}::DOUBLE / greatest(length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')), 1) * 0.5
+  + length(regexp_replace(x, '[^{letters.FREQUENT}{letters.FREQUENT.upper()}]', '', 'g'))::DOUBLE / greatest({CYRILLIC}, 1) + length(regexp_replace(x, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{P}}\\p{{S}} \\n\\r\\t]', '', 'g'))::DOUBLE / length(x) * 0.3
+  - length(regexp_replace(x, '[^�]', '', 'g'))::DOUBLE / length(x) * 3 - length(regexp_replace(x, '[^{letters.FOREIGN}]', '', 'g'))::DOUBLE / greatest({CYRILLIC}, 1) * 5 - length(regexp_replace(x, '[^▒▓]', '', 'g'))::DOUBLE / length(regexp_replace(x, '\\s', '', 'g')) * 3 - CASE WHEN o_orderkey % 4 = 1 THEN 3.0 ELSE 0 END, 6))[1]""")
+
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey || ['.txt', '.md', '.html', '.rtf', '.dat', '.bin', '.TXT'][p_partkey % 7 + 1] AS path, CASE p_partkey % 7 WHEN 1 THEN p_name || ' ' || p_type || chr(10) || 'bold ' || p_brand || ' & <more> of it ' || repeat('z', 60) WHEN 5 THEN NULL WHEN 6 THEN '' ELSE p_name || ' & ' || p_type || ' ' || p_brand || repeat('z', 60) END AS out,
+  CASE p_partkey % 7 WHEN 5 THEN 'unknown format' WHEN 6 THEN 'empty' ELSE 'ok' END AS status FROM part""", heavy=True)
+def file_formats(spark, t):
+    """Files of each format, made from columns, come back as the text that they were made from."""
+    name, kind, brand, tail = F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.lit("z" * 60)
+    plain = F.concat(name, F.lit(" & "), kind, F.lit(" "), brand, tail)
+    markdown = F.concat(F.lit("# "), name, F.lit(" "), kind, F.lit("\n**bold** [`"), brand, F.lit("`](http://x) &amp; &lt;more\\> *of it* "), tail)
+    page = F.concat(F.lit("<html><head><title>x</title></head><body><p>"), name, F.lit(" &amp; <b>"), kind, F.lit("</b> "), brand, tail, F.lit("</p><script>y</script>"))
+    rtf = F.concat(F.lit("{\\rtf1\\ansi\\ansicpg1251{\\fonttbl{\\f0 Arial;}}\\f0 "), name, F.lit(" \\'26 {\\b "), kind, F.lit("} "), brand, tail, F.lit("}"))
+    which = F.col("p_partkey") % 7
+    content = F.when(which == 1, F.encode(markdown, "UTF-8")).when(which == 2, F.encode(page, "UTF-8")).when(which == 3, F.encode(rtf, "UTF-8")).when(which == 4, F.encode(plain, "UTF-8")).when(which == 5, F.unhex(F.repeat(F.lit("000102FE"), F.lit(40)))).when(which == 6, F.unhex(F.lit(""))).otherwise(F.encode(plain, "UTF-8"))
+    ending = F.element_at(F.array(*map(F.lit, [".txt", ".md", ".html", ".rtf", ".dat", ".bin", ".TXT"])), which.cast("int") + 1)
+    files = t("part").select(F.concat(F.col("p_partkey").cast("string"), ending).alias("path"), content.alias("content"))
+    return text.extracted(files).select("path", rx.strip(F.col("text")).alias("out"), "status")
+
+
+BOOK_SQL = "SELECT p_partkey || '{0}' AS path, p_name AS title, p_brand AS author, CASE WHEN p_partkey % 2 = 0 THEN 'Цикл ' || p_brand END AS series, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS series_index, CAST(c AS BIGINT) AS chapter, {1} AS chapter_title, CASE c WHEN 1 THEN p_type ELSE 'Конец ' || p_size END AS text, 'Q' || p_partkey AS cover, 'ok' AS status FROM part, (SELECT unnest([1, 2]) AS c)"
+
+
+def book_rows(files: DataFrame) -> DataFrame:
+    found = books.read_books(files).select("*", F.posexplode("chapters").alias("_pos", "c"))
+    return found.select("path", "title", "author", "series", "series_index", (F.col("_pos") + 1).cast("long").alias("chapter"), F.col("c.title").alias("chapter_title"), F.col("c.text").alias("text"), F.col("cover").cast("string").alias("cover"), "status")
+
+
+@query(BOOK_SQL.format(".fb2", "CASE c WHEN 1 THEN 'Часть первая. Глава 1' ELSE 'Глава 2' END"), heavy=True)
+def fb2_books(spark, t):
+    """FB2 files, made from columns, as chapters with metadata and cover."""
+    e = sinks.escaped
+    sequence = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<sequence name="'), e(F.concat(F.lit("Цикл "), "p_brand")), F.lit('" number="'), F.col("p_size").cast("string"), F.lit('"/>'))).otherwise(F.lit(""))
+    xml = F.concat(
+        F.lit('<?xml version="1.0" encoding="utf-8"?><FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0" xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><author><last-name>'), e(F.col("p_brand")), F.lit("</last-name></author><book-title>"), e(F.col("p_name")), F.lit("</book-title>"), sequence,
+        F.lit('<coverpage><image l:href="#c.jpg"/></coverpage></title-info></description><body><section><title><p>Часть первая.</p></title><section><title><p>Глава 1</p></title><p>'), e(F.col("p_type")), F.lit("</p></section><section><title><p>Глава 2</p></title><p>"), F.lit("Конец "), F.col("p_size").cast("string"),
+        F.lit('</p></section></section></body><binary id="c.jpg">'), F.base64(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).cast("binary")), F.lit("</binary></FictionBook>"),
+    )
+    return book_rows(t("part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".fb2")).alias("path"), F.encode(xml, "UTF-8").alias("content")))
+
+
+@F.pandas_udf("binary")
+def _zipped(names: pd.Series, contents: pd.Series) -> pd.Series:
+    def one_file(members, parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in zip(members, parts, strict=True):
+                z.writestr(name, data)
+        return out.getvalue()
+
+    return pd.Series([one_file(n, c) for n, c in zip(names, contents, strict=True)])
+
+
+@query(BOOK_SQL.format(".epub", "'Глава ' || c"), heavy=True)
+def epub_books(spark, t):
+    """EPUB files, made from columns, as chapters with metadata and cover; what the spine skips or lists as navigation is no chapter."""
+    e = sinks.escaped
+    series = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<meta name="calibre:series" content="'), e(F.concat(F.lit("Цикл "), "p_brand")), F.lit('"/><meta name="calibre:series_index" content="'), F.col("p_size").cast("string"), F.lit('"/>'))).otherwise(F.lit(""))
+    package = F.concat(F.lit('<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>'), e(F.col("p_name")), F.lit("</dc:title><dc:creator>"), e(F.col("p_brand")), F.lit("</dc:creator>"), series, F.lit(
+        '</metadata><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="b" href="t/b.xhtml" media-type="application/xhtml+xml"/><item id="n" href="n.xhtml" properties="nav" media-type="application/xhtml+xml"/>'
+        '<item id="c" href="i/c.png" properties="cover-image" media-type="image/png"/></manifest><spine><itemref idref="n"/><itemref idref="a"/><itemref idref="n" linear="no"/><itemref idref="b"/></spine></package>'))
+    page = lambda n, x: F.concat(F.lit(f"<html><body><h1>Глава {n}</h1><p>"), e(x), F.lit("</p></body></html>"))
+    members = {"META-INF/container.xml": F.lit('<container><rootfiles><rootfile full-path="OPS/p.opf"/></rootfiles></container>'), "OPS/p.opf": package, "OPS/a.xhtml": page(1, F.col("p_type")), "OPS/t/b.xhtml": page(2, F.concat(F.lit("Конец "), F.col("p_size").cast("string"))), "OPS/n.xhtml": F.lit("<html><body>nav</body></html>"), "OPS/i/c.png": F.concat(F.lit("Q"), F.col("p_partkey").cast("string"))}
+    content = _zipped(F.array(*map(F.lit, members)), F.array(*members.values()))
+    return book_rows(t("part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".epub")).alias("path"), content.alias("content")))
+
+
 # --- numbers ----------------------------------------------------------------------------------------------------------
 
 
@@ -233,8 +313,12 @@ def roman_to_arabic(spark, t):
     return t("part").select("p_partkey", letters.roman_to_arabic(said).alias("out"))
 
 
-ABBREVIATED = [("и т. д. Он", "и так далее. Он"), ("и т. п. он", "и тому подобное он"), ("т. е. он", "то есть он"), ("см. с. 5", "смотри страница пять"), ("театр им. Пушкина", "театр имени Пушкина"), ("г. Москва, ул. Мира, д. 5, кв. 7", "город Москва, улица Мира, дом пять, квартира семь"), ("Пётр I в гл. 2", "Пётр 1 в глава два"), ("в 300 г. до н. э. и", "в трёхсотом году до нашей эры и"), ("№5 и №№ 6", "номер пять и номера шесть"), ("напр. рис. 3", "например рисунок три")]
-ABBREVIATED[6] = ("пер. Труда, обл. 2", "переулок Труда, область два")
+ABBREVIATED = [("и т. д. Он", "и так далее. Он"), ("и т. п. он", "и тому подобное он"), ("т. е. он", "то есть он"), ("см. с. 5", "смотри страница пять"), ("театр им. Пушкина", "театр имени Пушкина"), ("г. Москва, ул. Мира, д. 5, кв. 7", "город Москва, улица Мира, дом пять, квартира семь"), ("в гл. 2", "в глава два"), ("в 300 г. до н. э. и", "в трёхсотом году до нашей эры и"), ("№5 и №№ 6", "номер пять и номера шесть"), ("напр. рис. 3", "например рисунок три")]
+ABBREVIATED += [("пер. Труда, обл. 2", "переулок Труда, область два"), ("и т. д он", "и так далее он"), ("т. к. он", "так как он"), ("т. н. сад", "так называемый сад"), ("и др. он", "и другие он"), ("и пр. он", "и прочее он"), ("ср. там", "сравни там"), ("стр. там", "страница там"), ("табл. там", "таблица там"), ("к1905 г., да", "к1905 год, да"), ("1905—1910 гг. шли", "одна тысяча девятьсот пять—одна тысяча девятьсот десять годы шли"), ("просп. Мира", "проспект Мира")]
+#: Units, and what is written with digits but is no number of its own, on cases with literal results.
+COUNTED = [("5 см. и", "пять сантиметров. и"), ("1 см, 2,5 см.", "один см, два целых пять десятых сантиметра."), ("3 г муки", "три грамма муки"), ("21 г. сахара", "двадцать один грамм сахара"), ("11 г соли", "одиннадцать граммов соли"), ("2,5 % за", "два целых пять десятых процента за"), ("101%", "сто один процент"), ("90-е годы", "девяностые годы"), ("1000-е год", "тысячные год"), ("5-го числа", "пятого числа"), ("3-й", "третий"), ("103-м", "сто третьем"), ("2000-ая", "двухтысячная"), ("40-ых", "сороковых"), ("1 000 000", "один миллион"), ("1943 150", "одна тысяча девятьсот сорок три сто пятьдесят"), ("31.02.2001", "тридцать один.два.две тысячи один"), ("1,23456", "один запятая двадцать три тысячи четыреста пятьдесят шесть"), ("29.02.2024", "двадцать девятого февраля две тысячи двадцать четвёртого года")]
+#: Numerals with literal results.
+SPELLED = [(0, "ноль"), (1, "один"), (2, "два"), (11, "одиннадцать"), (14, "четырнадцать"), (21, "двадцать один"), (40, "сорок"), (90, "девяносто"), (100, "сто"), (212, "двести двенадцать"), (999, "девятьсот девяносто девять"), (1000, "одна тысяча"), (2002, "две тысячи два"), (5011, "пять тысяч одиннадцать"), (21000, "двадцать одна тысяча"), (1000000, "один миллион"), (2000005, "два миллиона пять"), (1000000000, "один миллиард"), (3000000000000, "три триллиона")]
 
 
 @query("SELECT o_orderkey, [" + ", ".join("'" + b.replace("'", "''") + "'" for _, b in ABBREVIATED) + f"][o_orderkey % {len(ABBREVIATED)} + 1] AS out FROM orders", heavy=True)
@@ -243,6 +327,31 @@ def abbreviations(spark, t):
     return t("orders").select("o_orderkey", speech.spoken_text(said).alias("out"))
 
 
+@query("SELECT o_orderkey, [" + ", ".join(f"'{b}'" for _, b in COUNTED) + f"][o_orderkey % {len(COUNTED)} + 1] AS out FROM orders", heavy=True)
+def counted_forms(spark, t):
+    said = F.element_at(F.array(*(F.lit(a) for a, _ in COUNTED)), (F.col("o_orderkey") % len(COUNTED)).cast("int") + 1)
+    return t("orders").select("o_orderkey", speech.spoken_text(said).alias("out"))
+
+
+@query("SELECT o_orderkey, [" + ", ".join(f"'{b}'" for _, b in SPELLED) + f"][o_orderkey % {len(SPELLED)} + 1] AS by_table, [" + ", ".join(f"'{b}'" for _, b in SPELLED) + f"][o_orderkey % {len(SPELLED)} + 1] AS by_rule FROM orders", heavy=True)
+def spelled_numbers(spark, t):
+    """Both forms of the cardinal rule, the column and the spoken text, against literal words."""
+    n = F.element_at(F.array(*(F.lit(a).cast("long") for a, _ in SPELLED)), (F.col("o_orderkey") % len(SPELLED)).cast("int") + 1)
+    return t("orders").select("o_orderkey", n.alias("n")).select("o_orderkey", ru.cardinal(F.col("n")).alias("by_table"), speech.spoken_text(F.col("n").cast("string")).alias("by_rule"))
+
+
+@query(f"""WITH {ru.WORDS_SQL}, t AS (SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(o_orderkey % 90 + 1 AS BIGINT) AS n, CAST(o_custkey AS VARCHAR) AS c FROM orders)
+SELECT o_orderkey AS doc_id, CAST(1 AS BIGINT) AS chapter_index, 'Глава ' || n AS title, 'Глава ' || {ru.cardinal('n', ru.Sql)} || '.' || chr(10) || 'Он «купил» в ' || {ru.inflected(ru.ordinal('y', ru.Sql), 'м', ru.Sql)} || ' году ' || {ru.cardinal('n', ru.Sql)} || ' ' || {ru.unit_form('n', 'процент', 'процента', 'процентов', ru.Sql)} || ' и так далее.' || chr(10) || '— Да, вот?!' || chr(10) || chr(10) || 'Конец плюс всё' AS text FROM t, w""", heavy=True)
+def clean_document(spark, t):
+    """Books cleaned whole: blank chapters go, spoken titles stand before the bodies, each kind of clean-up rule has something to do."""
+    y, n = F.year("o_orderdate").cast("string"), (F.col("o_orderkey") % 90 + 1).cast("string")
+    text_ = F.concat(F.lit("Он “купил”  в "), y, F.lit(" г. "), n, F.lit("%\r\nи т. д.\n- 12 -\n— Да,[3] вот⁈\n\n\n\nКонец + всё "))
+    book = lambda i, title, x: F.struct(F.lit(i).cast("long").alias("i"), title.alias("title"), x.alias("text"))
+    parts = t("orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(book(0, F.lit("Пусто"), F.lit(" \n ")), book(1, F.concat(F.lit(" Глава "), n), text_))).alias("c"))
+    rows = parts.select("doc_id", F.col("c.i").alias("chapter_index"), "c.title", "c.text")
+    return chapters.with_spoken_titles(chapters.clean_chapters(rows)).select("doc_id", "chapter_index", "title", "text")
+
+
 @query(heavy=True)
 def clean_text_full(spark, t):
     """The whole clean-up over every document, with Russian carriers before the text."""
@@ -303,7 +412,13 @@ def part_titles(spark, t):
     return t("part").select("p_partkey", timeline.part_title(F.col("p_name"), F.col("p_size"), F.col("p_size") % 3).alias("out"))
 
 
-@query()
+@query(f"""WITH c AS ({CHUNKS}), m AS (SELECT *, CAST(round_even(duration * 1000, 0) AS BIGINT) AS ms FROM c), e AS (SELECT *, CAST(sum(ms) OVER (PARTITION BY doc_id ORDER BY index) AS BIGINT) AS stop,
+  CAST(chapter_index IS DISTINCT FROM lag(chapter_index) OVER (PARTITION BY doc_id ORDER BY index) AS INT) AS new FROM m), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY index) - 1 AS BIGINT) AS span FROM e),
+p AS (SELECT doc_id, span, min(chapter_index) AS chapter_index, min(stop - ms) AS a, greatest(max(stop), min(stop - ms) + 1) AS b FROM s GROUP BY doc_id, span),
+f AS (SELECT doc_id, chapter_index, min(index) AS since, arg_min(coalesce(chapter_title, ''), index) AS own FROM c GROUP BY ALL),
+n AS (SELECT doc_id, chapter_index, CASE WHEN own <> '' THEN own ELSE 'Глава ' || row_number() OVER (PARTITION BY doc_id ORDER BY since) END AS title FROM f)
+SELECT doc_id, ';FFMETADATA1' || chr(10) || 'title=A\\=B' || chr(10) || 'album=A\\=B' || chr(10) || 'genre=Audiobook' || chr(10) || 'media_type=2' || string_agg(chr(10) || chr(10) || '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || a || chr(10) || 'END=' || b || chr(10) || 'title=' || title, '' ORDER BY span) || chr(10) AS text
+FROM p JOIN n USING (doc_id, chapter_index) GROUP BY doc_id""")
 def chapter_files(spark, t):
     """The chapter file of every conversation as a book."""
     c = chunks(t)
@@ -338,15 +453,9 @@ def job_query(sql: str):
     return query(f"WITH j AS ({JOBS_SQL}) {sql}")
 
 
-@job_query("SELECT DISTINCT content_hash FROM j WHERE stage NOT IN ('done', 'failed', 'cancelled') AND content_hash IN (SELECT sha256(CAST(doc_id % 500 AS VARCHAR)) FROM documents)")
-def active_duplicates(spark, t):
-    new = t("documents").select(F.sha2((F.col("doc_id") % 500).cast("string"), 256).alias("content_hash")).distinct()
-    return identity.rejected_duplicates(new, job_rows(t), any_stage=False)
-
-
 @job_query("SELECT DISTINCT sha256(d.text) AS content_hash FROM documents d WHERE sha256(d.text) IN (SELECT sha256(b.text) FROM j JOIN documents b ON b.doc_id = j.id WHERE j.stage NOT IN ('done', 'failed', 'cancelled'))")
-def active_duplicates_whole(spark, t):
-    """active_duplicates by the hashes of the texts themselves; a job's book is the document of its id."""
+def active_duplicates(spark, t):
+    """Texts that an open job has already; a job's book is the document of its id."""
     hashed = t("documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"))
     known = job_rows(t).drop("content_hash").join(hashed.withColumnRenamed("doc_id", "id"), "id")
     return identity.rejected_duplicates(hashed.select("content_hash").distinct(), known, any_stage=False)
