@@ -187,39 +187,43 @@ def subtrees(root: Element) -> Iterator[tuple[Element, bool]]:
         stack += [(c, inside) for c in e.children if not isinstance(c, str)]
 
 
-def counted(page: str) -> tuple[set[int], dict[int, np.ndarray], np.ndarray]:
-    """Hashes of a page's elements outside articles; of those inside with their companies; and the companies of no element.
+def counted(page: str) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """Hashes of a page's elements outside articles; of those inside; the companies of these, and those of no element.
 
     A company is the least of the hashes of the innermost blocks that are not in an element, in each of len(ORDERS) random
-    orders; NONE if there are none.
+    orders; NONE if there are none. Of equal elements the least counts.
     """
     root = parsed(page)
     hashed(root)
-    outside, leaves, found = set(), [], []
+    outside, leaves, inside, first, last = set(), [], [], [], []
     stack: list[tuple[Element, bool, int | None]] = [(root, False, None)]
     while stack:
-        e, inside, first = stack.pop()
-        if first is not None:  # all that is in e is done
-            if first == len(leaves):
+        e, within, since = stack.pop()
+        if since is not None:  # all that is in e is done
+            if since == len(leaves):
                 leaves.append(e.digest)
-            found.append((number(e), first, len(leaves)))
+            inside.append(number(e))
+            first.append(since)
+            last.append(len(leaves))
             continue
         if e.tag in CONTENT or e.tag == "":
-            inside = inside or e.tag == "article"
-        elif e.chars and not inside:
+            within = within or e.tag == "article"
+        elif e.chars and not within:
             outside.add(number(e))
         elif e.chars and e.tag in BLOCK:
             stack.append((e, True, len(leaves)))
-        stack += [(c, inside, None) for c in e.children if not isinstance(c, str)]
+        stack += [(c, within, None) for c in e.children if not isinstance(c, str)]
     h = mix64(np.frombuffer(b"".join(leaves), np.uint64)[None, :] ^ ORDERS[:, None])
     end = np.full((len(ORDERS), 1), NONE)
     before = np.minimum.accumulate(np.hstack([end, h]), 1)
     after = np.minimum.accumulate(np.hstack([end, h[:, ::-1]]), 1)[:, ::-1]
-    inside: dict[int, np.ndarray] = {}
-    for x, first, last in found:
-        company = np.minimum(before[:, first], after[:, last])
-        inside[x] = np.minimum(inside[x], company) if x in inside else company
-    return outside, inside, before[:, -1]
+    company = np.minimum(before[:, first], after[:, last]).T if inside else np.empty((0, len(ORDERS)), np.uint64)
+    if len(set(inside)) < len(inside):
+        inside, of = np.unique(np.array(inside), return_inverse=True)
+        least = np.full((len(inside), len(ORDERS)), NONE)
+        np.minimum.at(least, of, company)
+        inside, company = inside.tolist(), least
+    return list(outside), inside, company, before[:, -1]
 
 
 def number(e: Element) -> int:
@@ -262,26 +266,16 @@ def main_text(page: str, outside: frozenset[int] = frozenset(), inside: frozense
     return "\n\n".join(blocks)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, digest, side, company: a row for each different subtree of a page.
+HASHES = "host string, outside array<long>, inside array<long>, companies array<array<long>>, whole array<long>"
 
-    side is -1 outside articles; inside it is the number of the order that the company is by. One row without digest for
-    each order says the company of a page's articles as a whole.
-    """
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each page; companies of -1 are none."""
     for b in batches:
-        hosts, digests, sides, companies = [], [], [], []
-        for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-            outside, inside, whole = counted(page.as_py() or "")
-            n = len(outside) + (len(inside) + 1) * len(ORDERS)
-            hosts += [host] * n
-            digests += outside
-            sides += [-1] * len(outside)
-            companies += [None] * len(outside)
-            for x, company in [(None, whole), *inside.items()]:
-                digests += [x] * len(ORDERS)
-                sides += range(len(ORDERS))
-                companies += [None if c == -1 else c for c in company.view(np.int64).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(sides, pa.int32()), pa.array(companies, pa.int64())], ["host", "digest", "side", "company"])
+        found = [counted(page.as_py() or "") for page in b.column("html")]
+        columns = [[x[0] for x in found], [x[1] for x in found], [x[2].view(np.int64).tolist() for x in found], [x[3].view(np.int64).tolist() for x in found]]
+        long = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("host"), *(pa.array(c, t) for c, t in zip(columns, (long, long, pa.list_(long), long), strict=True))], ["host", "outside", "inside", "companies", "whole"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,17 +293,22 @@ def needed(pages: Column) -> Column:
 def site_templates(pages: DataFrame) -> DataFrame:
     """host, outside, inside: hashes of the subtrees that recur on the host's pages. pages: host, html.
 
-    The hosts' counts are summed before they meet: one row for each subtree, company and host leaves a task.
+    Pages are counted first; companies only of what is on LEAST pages or more, as they can't be more. All counts are
+    summed before they move.
     """
-    rows = pages.select("host", "html").mapInArrow(lean(_hashes), "host string, digest long, side int, company long")
-    pairs = rows.groupBy("host", "digest", "side", "company").agg(F.count("*").alias("rows"))
-    n = F.when(F.col("side") < 0, F.sum("rows")).otherwise(F.count("company"))
-    found = pairs.groupBy("host", "digest", "side").agg(n.alias("n")).groupBy("host", "digest", (F.col("side") >= 0).alias("inside")).agg(F.max("n").alias("n"))
-    found = stage(found.where((F.col("n") >= LEAST) | F.col("digest").isNull()), "subtrees")
-    wholes = found.where("digest is null").select("host", F.lit(True).alias("inside"), F.col("n").alias("pages"))
-    hosts = stage(pages.groupBy("host").agg(F.count("*").alias("pages")).withColumn("inside", F.lit(False)).unionByName(wholes), "hosts")
+    rows = stage(pages.select("host", "html").mapInArrow(lean(_hashes), HASHES), "subtrees")
+    inside = rows.select("host", F.explode(F.arrays_zip("inside", "companies")).alias("x")).select("host", F.col("x.inside").alias("digest"), "x.companies")
+    count = lambda df: df.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    outside = count(rows.select("host", F.explode("outside").alias("digest"))).withColumn("inside", F.lit(False))
+    often = stage(count(inside.select("host", "digest")).select("host", "digest"), "recurring")
+    size = often.agg(F.sum(F.length("host") + 32)).head()[0] or 0
+    known = lambda df, *by: df.where("company <> -1").distinct().groupBy(*by, "order").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max("n").alias("n"))
+    companies = known(inside.join(small(often, size), ["host", "digest"]).select("host", "digest", F.posexplode("companies").alias("order", "company")), "host", "digest")
+    found = outside.unionByName(companies.withColumn("inside", F.lit(True)))
+    wholes = known(rows.select("host", F.posexplode("whole").alias("order", "company")), "host").select("host", F.lit(True).alias("inside"), F.col("n").alias("pages"))
+    hosts = stage(rows.groupBy("host").agg(F.count("*").alias("pages")).withColumn("inside", F.lit(False)).unionByName(wholes), "hosts")
     size = hosts.agg(F.sum(F.length("host") + 32)).head()[0] or 0
-    often = found.where("digest is not null").join(small(hosts, size), ["host", "inside"]).where(F.col("n") >= needed(F.col("pages")))
+    often = found.join(small(hosts, size), ["host", "inside"]).where(F.col("n") >= needed(F.col("pages")))
     side = lambda i: F.collect_list(F.when(F.col("inside") == i, F.col("digest")))
     return often.groupBy("host").agg(side(False).alias("outside"), side(True).alias("inside"))
 
