@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from narrata.functions import letters, rx, speech, whitespace
 from narrata.functions import numbers_ru as ru
@@ -212,7 +213,7 @@ def fb2_books(spark, t):
     return book_rows(t("part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".fb2")).alias("path"), F.encode(xml, "UTF-8").alias("content")))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _zipped(names: pd.Series, contents: pd.Series) -> pd.Series:
     def one_file(members, parts):
         out = io.BytesIO()
