@@ -32,6 +32,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Code points on either side of an entity that are its context.
 REACH = 48
 SUPPORT, REMOVE, GENERALISE = 2, 0.9, 0.6
+#: Matches in a text whose places are summed up together.
+MATCHES = 256
 TERM = r"\p{L}{3,}"
 
 
@@ -40,13 +42,26 @@ def found(text: Column, pattern: str) -> Column:
     whole = rf"\G((?s:.*?))({pattern})"
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("g"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("h"))
     none = F.expr("cast(array() as array<struct<a:int,b:int,v:string>>)")
+    length = lambda x: F.length(x["g"]) + F.length(x["h"])
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["g"])
         b = a + F.length(x["h"])
         return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("a"), b.alias("b"), x["h"].alias("v")))).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    # a fold copies the array that it appends to, so it runs over blocks of matches, each from where the ones before end;
+    # each step is bound once, as an expression that is named in a lambda is computed for each of its elements
+    def blocks(p: Column) -> Column:
+        ends = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / MATCHES).cast("int"))
+        return F.transform(ends, lambda i: F.slice(p, i * MATCHES + 1, F.lit(MATCHES)))
+
+    def placed(b: Column) -> Column:
+        totals = F.transform(b, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + length(x)))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.zip_with(b, F.slice(starts, F.lit(1), F.size(b)), lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    return once(parts, lambda p: F.when(F.size(p) > 0, F.flatten(once(blocks(p), placed))).otherwise(none))
 
 
 def digits(v: Column) -> Column:

@@ -297,6 +297,14 @@ def test_personal_data(spark):
         assert [f"{pii.KINDS[x.kind]}:{x.a}:{x.b}" for x in got[i].base] == personal(t or ""), (i, t)
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@x{i}.org {i}.2.3.4 é" for i in range(3000))
+    df = documents(spark, [(1, text)])
+    (row,) = pii.base_spans(df).select(F.transform("_base", lambda x: F.struct(x["kind"], x["a"], x["b"], x["v"])).alias("s")).collect()
+    mails = [(0, m.start(), m.end(), m[0]) for m in re.finditer(r"u\d+@x\d+\.org", text)]
+    assert [tuple(x) for x in row.s if x[0] == 0] == mails and all(text[x[1] : x[2]] == x[3] for x in row.s)
+
+
 def test_disclosure(spark):
     filler = lambda i: " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(20))
     made = [(i, f"{filler(i)} kunde Zephyrine hat {'q' * (i + 1)} anna@firma.de und das") for i in range(6)] + [(100 + i, f"{filler(50 + i)} kunde hat und das") for i in range(60)]
