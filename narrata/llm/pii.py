@@ -1,14 +1,17 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them. DataFrame functions only.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Each value found is a protected entity. A term near
-it discloses it as far as their co-occurrence over the corpus says: with IC(e) = ln(N / n_e) and PMI(e, t) =
-ln(N * n_et / (n_e * n_t)), the term gives away the share PMI / IC of the entity's information. From REMOVE on the term is
-removed, from GENERALISE on it is replaced by its shape. n_et and n_e count different contexts (copies of one passage are
-one piece of evidence), n_t counts documents, N is the number of documents; an entity or pair with fewer than SUPPORT
-contexts tells nothing. Terms are marked only beside the entity that they disclose, so texts without entities stay as they are.
+Patterns find e-mail addresses, IP addresses, card and phone numbers. Each value found is a protected entity. A term within
+REACH of it discloses it as far as their co-occurrence over the corpus says. All counts are of documents: n_e hold the
+entity, n_t the term, n_et the term within REACH of the entity, N is all. With IC(e) = ln(N / n_e) and PMI(e, t) =
+ln(N * n_et / (n_e * n_t)), the term gives away the share PMI / IC of the entity's information. Copies of one passage are
+one piece of evidence, so the share is multiplied by the greater of (c + 1/2) / (c_e + 1), how regularly the term stands in
+the entity's contexts, and c / (c + 1), how often it was seen there at all: c and c_e count the different contexts of the
+pair and of the entity. From REMOVE on the term is removed, from GENERALISE on it is replaced by its shape. Terms are marked
+only beside the entity that they disclose, so texts without entities stay as they are.
 
 Defined cases: null text is empty (no spans); offsets are code points, end exclusive; added spans never overlap a base
-span; repeated rows each get the same spans; other columns are ignored, or kept by sanitise.
+span; an entity of every document has no information to give away; repeated rows count as documents and each get the same
+spans; doc_id is whole numbers (others can't be cast); other columns are ignored, or kept by sanitise.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm.common import small, stage, table, text_key
+from narrata.llm.common import hot_join, hot_keys, small, stage, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values of the contract, written so that Java's matcher neither backtracks into a run nor recurses: possessive
@@ -30,8 +33,10 @@ PATTERNS = {
 GUARDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9][\x20().0-9-]"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Code points on either side of an entity that are its context.
-REACH = 48
-SUPPORT, REMOVE, GENERALISE = 2, 0.9, 0.6
+REACH = 240
+REMOVE, GENERALISE = 0.9, 0.6
+#: Code points of a text that are addressed together.
+PAGE = 1024
 #: Matches in a text whose places are summed up together.
 MATCHES = 256
 TERM = r"\p{L}{3,}"
@@ -60,7 +65,6 @@ def found(text: Column, pattern: str) -> Column:
         starts = F.aggregate(totals, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
         return F.zip_with(b, F.slice(starts, F.lit(1), F.size(b)), lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"])
 
-    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     return once(parts, lambda p: F.when(F.size(p) > 0, F.flatten(once(blocks(p), placed))).otherwise(none))
 
 
@@ -101,47 +105,108 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_base", F.concat(*(valid(i, k) for i, k in enumerate(KINDS)))).drop(*(f"_{k}" for k in KINDS))
 
 
-def context(text: Column, x: Column) -> Column:
-    """The terms within REACH of an entity: array<struct<term, a, b>>; words that the reach cuts are left out."""
-    start = F.greatest(x["a"] - REACH, F.lit(0))
-    left = F.substring(text, start + 1, x["a"] - start)
-    right = F.substring(text, x["b"] + 1, F.lit(REACH))
-    whole = lambda w, of, at: F.transform(found(of, TERM), lambda y: F.struct(F.lower(y["v"]).alias("term"), (y["a"] + at).alias("a"), (y["b"] + at).alias("b")))
-    before = F.filter(whole(None, left, start), lambda y: (y["a"] > start) | (start == 0))
-    after = F.filter(whole(None, right, x["b"]), lambda y: y["b"] < x["b"] + REACH)
-    return F.concat(before, after)
+def once(x: Column, f) -> Column:
+    """f(x), where x is computed once however often f names it: an expression inside a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def disclosed(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """kind, v, term, share: terms that give away GENERALISE or more of an entity. spans: key, kind, v, place, terms."""
-    near = spans.select("kind", "v", "place", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    entities = spans.groupBy("kind", "v").agg(F.count_distinct("place").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = near.groupBy("kind", "v", "term").agg(F.count_distinct("place").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    pairs = stage(pairs.join(entities, ["kind", "v"]), "pii-pairs")
+def pages(text: Column) -> Column:
+    """A text in pieces of PAGE code points, so that a piece of it is found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def cut(paged: Column, a: Column, b: Column) -> Column:
+    """The code points from a to b, end exclusive, of a text in pages."""
+    first = F.floor(a / PAGE).cast("int")
+    some = F.array_join(F.slice(paged, first + 1, F.floor(b / PAGE).cast("int") - first + 1), "")
+    return F.when(b > a, F.substring(some, a - first * PAGE + 1, b - a)).otherwise("")
+
+
+def covered(text: Column, spans: Column) -> Column:
+    """The text with a 0 for each code point of the spans, which are in order and don't overlap."""
+    end = lambda j: F.coalesce(F.get(spans, j)["b"], F.lit(0))
+
+    def joined(p: Column) -> Column:
+        pieces = F.transform(spans, lambda x, j: F.concat(cut(p, end(j - 1), x["a"]), F.repeat(F.lit("0"), x["b"] - x["a"])))
+        return F.concat(F.array_join(pieces, ""), cut(p, end(F.size(spans) - 1), F.size(p) * PAGE))
+
+    return F.when(F.size(spans) == 0, text).otherwise(once(pages(text), joined))
+
+
+def masked(text: Column, base: Column) -> Column:
+    """The text with its base spans covered, kind by kind, as only spans of unlike kinds overlap."""
+
+    def one_kind(text: Column, kind: int) -> Column:
+        return once(text, lambda t: once(F.filter(base, lambda x: x["kind"] == kind), lambda spans: covered(t, spans)))
+
+    for kind in range(len(KINDS)):
+        text = one_kind(text, kind)
+    return text
+
+
+def contexts(text: Column, base: Column) -> Column:
+    """array<struct<entity, place, terms array<struct<term, a, b>>>>: for each base span its entity, the hash of its context, and the terms there.
+
+    Words that REACH cuts are left out, and so is all that is part of a base span.
+    """
+
+    def around(p: Column, x: Column) -> Column:
+        start = F.greatest(x["a"] - REACH, F.lit(0))
+        left, right = cut(p, start, x["a"]), cut(p, x["b"], x["b"] + REACH)
+        words = lambda of, at: F.transform(found(of, TERM), lambda y: F.struct(F.lower(y["v"]).alias("term"), (y["a"] + at).alias("a"), (y["b"] + at).alias("b")))
+        before = F.filter(words(left, start), lambda y: (y["a"] > start) | (start == 0))
+        after = F.filter(words(right, x["b"]), lambda y: (y["b"] < x["b"] + REACH))
+        return F.struct(F.concat_ws(":", x["kind"].cast("string"), x["v"]).alias("entity"), F.xxhash64(left, right).alias("place"), F.concat(before, after).alias("terms"))
+
+    return once(pages(masked(text, base)), lambda p: F.transform(base, lambda x: around(p, x)))
+
+
+def of_pair(entity: Column, term: Column) -> Column:
+    """A term beside an entity, as one string; neither holds a line feed."""
+    return F.concat_ws("\n", entity, term)
+
+
+def disclosed(around: DataFrame, docs: DataFrame) -> DataFrame:
+    """pair, n, share: terms that give away GENERALISE or more of an entity, and the number of documents of the pair. around: one row for each document with entities."""
+    entity, pairs = F.col("x.entity"), F.transform("x.terms", lambda t: of_pair(F.col("x.entity"), t["term"]))
+    places = around.select(F.explode("around").alias("x"))
+    distinct = lambda df, key: df.distinct().groupBy(key).agg(F.count("*").alias("c"))
+    of_entities = distinct(places.select(entity.alias("entity"), "x.place"), "entity").withColumnRenamed("c", "c_e")
+    of_pairs = distinct(places.select(F.explode(F.array_distinct(pairs)).alias("pair"), "x.place"), "pair")
+    in_docs = lambda strings, name, n: around.select(F.explode(F.array_distinct(strings)).alias(name)).groupBy(name).agg(F.count("*").alias(n))
+    entities = in_docs(F.transform("around", lambda x: x["entity"]), "entity", "n_e").join(of_entities, "entity")
+    pairs = in_docs(F.flatten(F.transform("around", lambda x: F.transform(x["terms"], lambda t: of_pair(x["entity"], t["term"])))), "pair", "n_et").join(of_pairs, "pair")
+    evidence = F.greatest((F.col("c") + 0.5) / (F.col("c_e") + 1), F.col("c") / (F.col("c") + 1))
+    pairs = pairs.withColumn("entity", F.substring_index("pair", "\n", 1)).join(entities, "entity").withColumn("evidence", evidence).where(F.col("evidence") >= GENERALISE)
+    pairs = stage(pairs.select("pair", F.substring_index("pair", "\n", -1).alias("term"), "n_et", "n_e", "evidence"), "pii-pairs")
     terms = stage(pairs.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
-    if not n_terms:
-        return pairs.select("kind", "v", "term", F.lit(0.0).alias("share")).where("false")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = words.groupBy("term").agg(F.count("*").alias("n_t")).join(small(terms, 64 * n_terms), "term")
+    size = terms.agg(F.sum(F.octet_length("term") + 48)).first()[0] or 0
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
+    known = words.join(small(terms, size), "term", "left_semi") if size else words.where("false")
+    known = stage(known.groupBy("term").agg(F.count("*").alias("n_t")), "pii-known")
     n = docs.count()
-    both = F.least("n_et", "n_t", "n_e")
-    share = F.log(both * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    return stage(pairs.join(known, "term").where(F.col("n_e") < n).select("kind", "v", "term", share.alias("share")).where(F.col("share") >= GENERALISE), "pii-disclosed")
+    share = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e")) * F.col("evidence")
+    counts = known.agg(F.sum(F.octet_length("term") + 48)).first()[0] or 0
+    said = pairs.where(F.col("n_e") < n).join(small(known, counts), "term").select("pair", F.col("n_et").alias("n"), share.alias("share"))
+    return stage(said.where(F.col("share") >= GENERALISE), "pii-disclosed")
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: key, doc_id, base and added spans (array<struct<kind, a, b>>, array<struct<a, b, share>>)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     based = base_spans(docs.withColumn("key", text_key()))
-    around = F.when(F.size("_base") > 0, F.transform("_base", lambda x: F.struct(x["kind"].alias("kind"), x["v"].alias("v"), F.xxhash64(F.substring("text", F.greatest(x["a"] - REACH, F.lit(0)) + 1, x["b"] - x["a"] + 2 * REACH)).alias("place"), context(F.col("text"), x).alias("terms"))))
+    around = F.when(F.size("_base") > 0, contexts(F.col("text"), F.col("_base")))
     plain = F.transform("_base", lambda x: F.struct(x["kind"].alias("kind"), x["a"].alias("a"), x["b"].alias("b")))
     rows = stage(based.select("doc_id", "key", plain.alias("base"), around.alias("around")), "pii-base")
-    spans = rows.where("around is not null").select("key", "base", F.explode("around").alias("x")).select("key", "base", "x.*")
-    said = disclosed(spans, docs)
-    marked = spans.select("key", "base", "kind", "v", F.explode("terms").alias("t")).select("key", "base", "kind", "v", "t.*").join(said, ["kind", "v", "term"])
-    clear = marked.where(~F.exists("base", lambda x: (x["a"] < F.col("b")) & (F.col("a") < x["b"])))
-    added = clear.groupBy("key", "a", "b").agg(F.max("share").alias("share")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b", "share"))).alias("added"))
+    some = rows.where("around is not null").select("key", "around")
+    said = disclosed(some, docs)
+    total, size = said.agg(F.sum("n"), F.sum(F.octet_length("pair") + 64)).first()
+    near = some.select("key", F.explode("around").alias("x")).select("key", "x.entity", F.explode("x.terms").alias("t"))
+    near = near.select("key", "t.a", "t.b", of_pair(F.col("entity"), F.col("t.term")).alias("pair"))
+    said = small(said, size or 0)
+    hot = hot_keys(said.select("pair", "n"), "pair", total or 0)
+    marked = hot_join(near, said.drop("n"), "pair", "key", hot)
+    added = marked.groupBy("key", "a", "b").agg(F.max("share").alias("share")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b", "share"))).alias("added"))
     return rows.select("doc_id", "key", "base").join(added, "key", "left").select("doc_id", "key", "base", F.coalesce("added", F.expr("cast(array() as array<struct<a:int,b:int,share:double>>)")).alias("added"))
 
 
@@ -169,6 +234,6 @@ def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, KINDS))
     spelled = lambda name, x: F.concat(name, F.lit(":"), x["a"].cast("string"), F.lit(":"), x["b"].cast("string"))
     base = F.transform("base", lambda x: spelled(F.element_at(kinds, x["kind"] + 1), x))
-    added = F.transform("added", lambda x: spelled(F.lit("term"), x))
+    added = F.transform("added", lambda x: spelled(F.when(x["share"] >= REMOVE, F.lit("removed")).otherwise(F.lit("generalised")), x))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     return spans.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, added), ",").alias("spans"))

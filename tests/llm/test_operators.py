@@ -320,6 +320,69 @@ def test_disclosure(spark):
     assert all(not r.added for r in pii.found_spans(copies).collect())
 
 
+def disclosed_by_hand(made):
+    """The spans that the docstring's counts add to each text, by loops over all texts."""
+    value = lambda t, s: (s.split(":")[0], *map(int, s.split(":")[1:]))
+    n, docs_e, docs_t, docs_et, of_e, of_et, near = len(made), {}, {}, {}, {}, {}, []
+    for i, t in enumerate(t or "" for _, t in made):
+        spans = [value(t, s) for s in personal(t)]
+        mask = list(t)
+        for _, a, b in spans:
+            mask[a:b] = "0" * (b - a)
+        mask = "".join(mask)
+        for w in {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t)}:
+            docs_t.setdefault(w, set()).add(i)
+        for k, a, b in spans:
+            e, start, end = (k, t[a:b]), max(a - pii.REACH, 0), b + pii.REACH
+            place = mask[start:a], mask[b:end]
+            docs_e.setdefault(e, set()).add(i)
+            of_e.setdefault(e, set()).add(place)
+            words = [(m[0].lower(), m.start() + at, m.end() + at) for at, part in ((start, place[0]), (b, place[1])) for m in re.finditer(r"[^\W\d_]{3,}", part)]
+            for w, x, y in words:
+                if (start < x or start == 0) if x < a else y < end:
+                    docs_et.setdefault((e, w), set()).add(i)
+                    of_et.setdefault((e, w), set()).add(place)
+                    near.append((i, x, y, e, w))
+    out = {}
+    for i, x, y, e, w in near:
+        n_e, n_t, n_et, c, c_e = len(docs_e[e]), len(docs_t[w]), len(docs_et[e, w]), len(of_et[e, w]), len(of_e[e])
+        if n_e < n:
+            share = np.log(n * n_et / (n_e * n_t)) / np.log(n / n_e) * max((c + 0.5) / (c_e + 1), c / (c + 1))
+            if share >= pii.GENERALISE:
+                out.setdefault(i, {})[x, y] = max(share, out.get(i, {}).get((x, y), 0))
+    return [sorted((x, y, round(s, 6)) for (x, y), s in out.get(i, {}).items()) for i in range(n)]
+
+
+def test_disclosure_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdeéß", k=rng.randint(2, 6))) for _ in range(300)]
+    entities = ["anna@firma.de", "bo@x.org", "10.0.0.1", "4111 1111 1111 1111", "+1 (212) 555-0100", "c.d@e.fg", "8.8.4.4"]
+    made = []
+    for i in range(150):
+        said = rng.choices(words, k=rng.choice([0, 5, 60, 400]))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            k = rng.randrange(len(entities))
+            said.insert(rng.randint(0, len(said)), f"Name{'xyzuvwq'[k]} 😀 {entities[k]}")
+        made.append((i, " ".join(said)))
+    made += [(200 + i, t) for i, t in made[:40]] + [(300, None), (301, "solo@single.net beside Quendolyn"), made[7], made[7]]
+    wanted = {}
+    for (i, t), spans in zip(made, disclosed_by_hand(made), strict=True):
+        wanted.setdefault((i, t or ""), spans)
+    for limit in (common.BROADCAST_LIMIT, 0):  # broadcast, and shuffled
+        monkeypatch.setattr(common, "BROADCAST_LIMIT", limit)
+        got = {r.doc_id: [(x.a, x.b, round(x.share, 6)) for x in r.added] for r in pii.found_spans(documents(spark, made)).collect()}
+        for (i, t), spans in wanted.items():
+            assert got[i] == spans, (i, t)
+    assert sum(map(len, wanted.values())) > 50 and [x[:2] for x in got[301]] == [(16, 22), (23, 32)]
+
+
+def test_context_of_a_long_text_with_many_entities(spark):
+    text = " ".join(f"wort u{i}@x{i}.org 10.2.3.{i % 256} é" for i in range(8000))
+    began = time.time()
+    (row,) = pii.found_spans(documents(spark, [(1, text), (2, "x")])).collect()[:1]
+    assert len(row.base) == 16_000 and time.time() - began < 60
+
+
 # --- 7: secrets ---
 
 
