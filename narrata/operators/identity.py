@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 ACTIVE_ENDS = ("done", "failed", "cancelled")
 # Limits of what is taken in, and of archives.
 MOST_BYTES = 200 << 20
+BLOCKED = (".pdf", ".doc", ".docx", ".zip", ".mobi", ".djvu", ".jpg", ".png", ".mp3", ".m4b", ".exe")
 MEMBERS, MEMBER_BYTES, TOTAL_BYTES, RATIO, MEMBER_FROM, TOTAL_FROM = 100_000, 512 << 20, 1 << 30, 200, 16 << 20, 256 << 20
 STORED, DEFLATED = 0, 8
+#: Rows of one key that a task takes, and the keys that may have more.
+HOT_ROWS, MOST_HOT = 100_000, 1024
 LOUD, VOICED_PART, FRAMES_PART = 64, 50, 12
 
 
@@ -18,9 +21,18 @@ def fingerprint(content: Column) -> Column:
 
 
 def first_of_each(items: DataFrame, key: str, order: str) -> DataFrame:
-    """items, and duplicate_of: the first in order with the same key (null for itself). One summed row for each key is joined back."""
-    first = items.groupBy(key).agg(F.min(order).alias("_first"))
-    return items.join(first, key).withColumn("duplicate_of", F.when(F.col(order) > F.col("_first"), F.col("_first"))).drop("_first")
+    """items, and duplicate_of: the first in order with the same key (null for itself, and where the key is null).
+
+    One summed row for each key is joined back. The rows of a key that very many share (an empty text, say) are dealt over
+    several tasks, HOT_ROWS or so to each; these keys are the MOST_HOT most frequent ones at most, so they can be broadcast.
+    """
+    first = items.groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    hot = first.where((F.col("_n") > HOT_ROWS) & F.col(key).isNotNull()).orderBy(F.desc("_n")).limit(MOST_HOT)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_salts")))
+    first = first.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts", "_n")
+    dealt = items.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(order), F.when(F.col(key).isNull(), MOST_HOT).otherwise(F.coalesce("_salts", F.lit(1)))).cast("int"))
+    found = dealt.join(first, [key, "_salt"], "left")
+    return found.withColumn("duplicate_of", F.when(F.col(order) > F.col("_first"), F.col("_first"))).select(*items.columns, "duplicate_of")
 
 
 def rejected_duplicates(new: DataFrame, jobs: DataFrame, any_stage: bool) -> DataFrame:
@@ -91,9 +103,26 @@ def archive_verdicts(members: DataFrame) -> DataFrame:
 
 
 def taken_in(files: DataFrame) -> DataFrame:
-    """files (path, length) with a status: why one is not taken in."""
-    name = F.element_at(F.split("path", "/"), -1)
-    status = F.when(name.startswith(".") | name.endswith(".part"), "skipped").when(F.col("length") <= 0, "empty").when(F.col("length") > MOST_BYTES, "too large").otherwise("ok")
+    """files with a status: why one is not taken in, by the first rule that it breaks.
+
+    files: path, length; where known is_link and is_regular (of the path, unresolved), mtime, and length_after and
+    mtime_after as they were when the copy was done. A null in one of these breaks no rule; a null length is empty.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    said = lambda c: F.coalesce(c, F.lit(False))
+    changed = [F.col(c) != F.col(f"{c}_after") for c in ("length", "mtime") if {c, f"{c}_after"} <= set(files.columns)]
+    rules = [
+        (name.startswith(".") | name.endswith(".part"), "skipped"),
+        (F.regexp_extract(name, r"\.[^.]*$", 0).isin(*BLOCKED), "format"),
+        *([(F.col("is_link"), "link")] if "is_link" in files.columns else []),
+        *([(~F.col("is_regular"), "not a file")] if "is_regular" in files.columns else []),
+        (F.coalesce("length", F.lit(0)) <= 0, "empty"),
+        (F.col("length") > MOST_BYTES, "too large"),
+        *((c, "changed") for c in changed),
+    ]
+    status = F.lit("ok")
+    for broken, why in reversed(rules):
+        status = F.when(said(broken), why).otherwise(status)
     return files.withColumn("status", status)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ MARK = "\ue000"
 PROTECTED = ("др", "пр", "т", "е", "к", "н", "г", "д", "стр", "с", "в", "р", "руб", "коп")
 BOUNDARY = r"""([.!?…]+[»"'”)\]]*)\s+(?=[«"'“(\[—–-]?[А-ЯЁA-Z0-9])"""
 CHUNK, FLOOR, SPARE = 800, 200, 200
+#: How often a piece that a voice refuses may be halved.
+HALVINGS = 3
 
 
 def protected(x: Column) -> Column:
@@ -96,6 +100,14 @@ def halves(x: Column) -> Column:
     return out
 
 
+def halved(x: Column, too_long: Callable[[Column], Column], depth: int = HALVINGS) -> Column:
+    """array<string>: x, each piece that is too long halved, and again up to depth times; what can't be cut stays whole."""
+    parts = F.array(x)
+    for _ in range(depth):
+        parts = F.flatten(F.transform(parts, lambda p: F.when(too_long(p), F.coalesce(halves(p), F.array(p))).otherwise(F.array(p))))
+    return parts
+
+
 def has_speakable(x: Column) -> Column:
     return x.rlike(r"[\p{L}\p{N}]")
 

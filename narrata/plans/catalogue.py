@@ -585,11 +585,26 @@ def expansion_guard(spark, t):
     return identity.archive_verdicts(members)
 
 
-@query("SELECT CASE WHEN doc_id % 10 = 0 THEN 'skipped' WHEN doc_id % 13 = 0 THEN 'empty' WHEN n_chars > 20000 THEN 'too large' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY 1")
+#: doc_id % 17 -> what is wrong with the file.
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'skipped' WHEN doc_id % 17 = 1 THEN 'format' WHEN doc_id % 17 = 2 THEN 'link' WHEN doc_id % 17 = 3 THEN 'not a file'
+WHEN length(text) = 0 OR doc_id % 17 = 4 THEN 'empty' WHEN doc_id % 17 = 5 THEN 'too large' WHEN doc_id % 17 IN (6, 7) THEN 'changed' ELSE 'ok' END AS status FROM documents""")
 def ingest_guard(spark, t):
-    d = F.col("doc_id")
-    files = t("documents").select(F.concat(F.lit("/in/"), F.when(d % 10 == 0, F.lit(".")).otherwise(F.lit("")), d.cast("string"), F.lit(".txt")).alias("path"), F.when(d % 13 == 0, 0).when(F.col("n_chars") > 20000, identity.MOST_BYTES + 1).otherwise(F.col("n_chars")).alias("length"))
-    return identity.taken_in(files).groupBy("status").agg(F.count("*").alias("n"))
+    d, bad = F.col("doc_id"), F.col("doc_id") % 17
+    path = F.concat(F.lit("/in/"), F.when(d % 10 == 0, F.lit(".")).otherwise(F.lit("")), d.cast("string"), F.when(bad == 1, ".PDF").otherwise(".txt"))
+    length = F.when(bad == 4, 0).when(bad == 5, identity.MOST_BYTES + 1).otherwise(F.length("text"))
+    files = t("documents").select("doc_id", path.alias("path"), length.alias("length"), (bad == 2).alias("is_link"), (bad != 3).alias("is_regular"), F.lit(5.0).alias("mtime"), (length + (bad == 6).cast("int")).alias("length_after"), F.when(bad == 7, 6.0).otherwise(5.0).alias("mtime_after"))
+    return identity.taken_in(files).select("doc_id", "status")
+
+
+HALVED = "list_transform(range(1), lambda _: CAST(p_size AS BIGINT))"
+for _ in range(sentences.HALVINGS):
+    HALVED = f"flatten(list_transform({HALVED}, lambda n: CASE WHEN n * 9 - 1 > 60 AND n > 1 THEN [n // 2, n - n // 2] ELSE [n] END))"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_transform({HALVED}, lambda n: rtrim(repeat('Раз два. ', n))), '|') AS out FROM part", heavy=True)
+def halved_pieces(spark, t):
+    said = F.rtrim(F.repeat(F.lit("Раз два. "), F.col("p_size").cast("int")))
+    return t("part").select("p_partkey", F.array_join(sentences.halved(said, lambda p: F.length(p) > 60), "|").alias("out"))
 
 
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: abs(CAST(floor(x * 1000) AS INT)) >= 64)) >= 640 / 50.0 AND len(embedding) >= 640 / 12.0 AND vec_id % 9 > 0 AS valid FROM embeddings")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,14 +74,52 @@ def overridden(metadata: DataFrame, overrides: DataFrame) -> DataFrame:
     return metadata.join(overrides.select("path", *(F.col(f).alias(f"_{f}") for f in fields)), "path", "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in metadata.columns))
 
 
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """What path holds, with the receipt of each item; null if nothing has been published there."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*"))
+    return spark.read.parquet(path).drop("batch") if there else None
+
+
 def publish(items: DataFrame, path: str) -> int:
-    """Appends the items (content_hash, job_id, …) that path does not hold yet; repeating it writes nothing. How many were new."""
+    """Publishes the items (content_hash, job_id, ...) that path does not hold yet, all or none; how many were new.
+
+    An item's receipt is the hash of its other columns. The new items are written to a hidden staging folder, whose name
+    is changed once, to one that depends on them alone: a reader sees all of a batch or nothing, a broken run leaves only
+    staging behind, repeating a batch writes nothing, and of two writers of one batch the second finds it there. An item
+    that path holds with another receipt is an error, and nothing is written. Rows that repeat an item are published once; unlike
+    rows of one item are an error too. The change of name is atomic where the file system's is (HDFS, local disks).
+    """
     spark: SparkSession = items.sparkSession
-    items = items.dropDuplicates(["content_hash", "job_id"])
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
-    new = items.join(spark.read.parquet(path).select("content_hash", "job_id"), ["content_hash", "job_id"], "left_anti") if there else items
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+    key = ["content_hash", "job_id"]
+    rest = [c for c in items.columns if c not in key]
+    receipt = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit(""), 256)
+    items = items.withColumn("receipt", receipt).dropDuplicates([*key, "receipt"])
+    if not items.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError("unlike rows of one item")
+    old = published(spark, path)
+    if old is not None:
+        known = old.select(*key, F.col("receipt").alias("_known"))
+        if not items.join(known, key).where("receipt <> _known").isEmpty():
+            raise ValueError("an item is there with other content; it is not overwritten")
+        items = items.join(known, key, "left_anti")
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    staging = fs.Path(f"{path}/.staging-{uuid.uuid4().hex}")
+    system = staging.getFileSystem(conf)
+    try:
+        items.write.parquet(staging.toString())
+        n, name = spark.read.schema(items.schema).parquet(staging.toString()).agg(F.count("*"), F.bit_xor(F.xxhash64(*key, "receipt"))).first()
+        if not n:
+            return 0
+        plain = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+        try:
+            fs.FileContext.getFileContext(system.getUri(), conf).rename(staging, fs.Path(f"{path}/batch={n}-{name & (1 << 64) - 1:016x}"), plain)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.toString():
+                raise
+            return 0
+        return n
+    finally:
+        system.delete(staging, True)

@@ -4,6 +4,7 @@ import base64
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from narrata.sources import books, sinks
@@ -72,3 +73,27 @@ def test_library_path(spark):
     lit = F.lit
     df = spark.range(1).select(sinks.library_path(lit("Автор"), lit("Книга"), lit("Цикл"), lit("02"), lit("s.fb2"), lit("e" * 64), lit(7)), sinks.base_name(lit("Т"), lit("А"), lit("x.fb2")), sinks.base_name(lit(""), lit("А"), lit("x.fb2")))
     assert list(df.head()) == ["Автор/Цикл/02 - Книга [eeeeeeeeeeee-7]", "А - Т", "x"]
+
+
+def test_publish_all_or_nothing(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    item = lambda h, j, t: (h, j, t)
+    frame = lambda *rows: spark.createDataFrame(rows, "content_hash string, job_id long, title string")
+    assert sinks.published(spark, path) is None
+    assert sinks.publish(frame(item("a", 1, "x"), item("a", 1, "x"), item("b", 2, None)), path) == 2
+    (tmp_path / "lib" / ".staging-left").mkdir()  # as a broken run leaves it
+    assert sinks.publish(frame(item("a", 1, "x"), item("c", 3, "z")), path) == 1
+    for wrong in (frame(item("d", 4, "new"), item("a", 1, "other")), frame(item("e", 5, "1"), item("e", 5, "2"))):
+        with pytest.raises(ValueError):
+            sinks.publish(wrong, path)
+    assert sorted(r.content_hash for r in sinks.published(spark, path).collect()) == ["a", "b", "c"]
+    assert sinks.publish(frame(), path) == 0 and not [p for p in (tmp_path / "lib").iterdir() if p.name.startswith(".staging-") and p.name != ".staging-left"]
+
+
+def test_publish_meets_another_writer(spark, tmp_path, monkeypatch):
+    path, items = str(tmp_path / "lib"), spark.createDataFrame([("a", 1), ("b", 2)], "content_hash string, job_id long")
+    assert sinks.publish(items, path) == 2
+    monkeypatch.setattr(sinks, "published", lambda *a: None)  # the other writer was not done when this one looked
+    assert sinks.publish(items, path) == 0
+    monkeypatch.undo()
+    assert sinks.published(spark, path).count() == 2

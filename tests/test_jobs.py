@@ -68,6 +68,50 @@ def test_token_stream(spark, tmp_path):
     assert streamed(spark, tmp_path, "confirmed", rows, "token string, user_id long, kind string, ts double", stateful.confirmed) == [("t", 1, 0.0, 9.0)]
 
 
+def test_folder_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, content in (("b.txt", "bb"), ("a.txt", "a"), (".hidden", "x"), ("c.part", "x"), ("empty.txt", ""), ("_d.md", "d")):
+        (folder / name).write_text(content)
+
+    def taken():
+        files = stateful.folder_stream(spark, str(folder)).selectExpr("substring_index(path, '/', -1) AS name", "cast(content AS string) AS text")
+        files.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination(120)
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+
+    first = taken()
+    (folder / "later.txt").write_text("new")
+    assert {("a.txt", "a"), ("b.txt", "bb")} <= set(first) <= {("a.txt", "a"), ("b.txt", "bb"), ("_d.md", "d")}
+    assert taken() == sorted([*first, ("later.txt", "new")])  # files that were seen are not read again
+
+
+def test_handled_stream(spark, tmp_path):
+    day = lambda d: __import__("datetime").datetime(2024, 1, d)
+    polls = [[("a", 1, day(1)), ("b", 1, day(1))], [("a", 1, day(1)), ("b", 2, day(1)), ("a", 1, day(2))], [("a", 1, day(2)), ("b", 1, day(1))]]
+    wanted = sorted({r for p in polls for r in p})
+    assert streamed(spark, tmp_path, "handled", polls, "path string, size long, mtime timestamp", stateful.unhandled) == wanted
+    (tmp_path / "w").mkdir()
+    assert streamed(spark, tmp_path / "w", "handled_within", polls, "path string, size long, mtime timestamp", lambda s: stateful.unhandled(s, "30 days")) == wanted
+
+
+def test_first_of_each_with_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(identity, "HOT_ROWS", 50)
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 200}") for i in range(900)] + [(5, "k5")]
+    first = {}
+    for i, k in rows:
+        first[k] = min(first.get(k, i), i)
+    got = identity.first_of_each(spark.createDataFrame(rows, "i long, k string"), "k", "i").collect()
+    wanted = [(i, k, first[k] if k is not None and i > first[k] else None) for i, k in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted))
+
+
+def test_ingest_guard_with_nulls(spark):
+    rows = [("/in/a.txt", 3, None, None), ("/in/a.DOCX", 3, False, True), ("/in/a", None, None, None), ("/in/b", 3, True, True), ("/in/c", 3, False, False), (None, 3, False, True)]
+    files = spark.createDataFrame(rows, "path string, length long, is_link boolean, is_regular boolean")
+    assert [r.status for r in identity.taken_in(files).collect()] == ["ok", "format", "empty", "link", "not a file", "ok"]
+    assert [r.status for r in identity.taken_in(files.select("path", "length")).collect()] == ["ok", "format", "empty", "ok", "ok", "ok"]
+
+
 @pytest.mark.parametrize(("name", "ok"), [("a/../b", True), ("../a", False), ("/a", False), ("C:/a", False), ("", False)])
 def test_member_paths(spark, name, ok):
     from pyspark.sql import functions as F
