@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.operators.folds import folded
+
 STAGES = ("ingesting", "queued", "extracting", "cleaning", "synthesizing", "assembling", "ready", "delivering", "done", "failed", "cancelled")
 ENDED = ("done", "failed", "cancelled")
 RUNNING = ("extracting", "cleaning", "synthesizing", "assembling", "delivering")
@@ -137,17 +139,19 @@ def stable_polls(polls: DataFrame) -> DataFrame:
 
 
 def throttled(events: DataFrame, key: str, seconds: int = 60, most: int = 1_000_000) -> DataFrame:
-    """key, ts, suppressed: the events that a log line is written for, each at least `seconds` after the one before, and how many it stands for."""
-    ordered = events.groupBy(key).agg(F.array_sort(F.collect_list("ts")).alias("_all"))
-    none = F.expr("cast(array() as array<struct<ts:double,suppressed:bigint>>)")
+    """key, ts, suppressed: the events that a log line is written for, each at least `seconds` after the one before, and how many it stands for.
+
+    Events without a time are left out.
+    """
 
-    def step(acc: Column, t: Column) -> Column:
-        written = acc["last"].isNull() | (t - acc["last"] >= seconds)
-        row = F.array(F.struct(t.alias("ts"), acc["held"].alias("suppressed")))
-        return F.struct(F.when(written, F.concat(acc["out"], row)).otherwise(acc["out"]).alias("out"), F.when(written, t).otherwise(acc["last"]).alias("last"), F.when(written, F.lit(0).cast("long")).otherwise(F.least(acc["held"] + 1, F.lit(most).cast("long"))).alias("held"))
+    def step(state: tuple, ts: float) -> tuple:
+        last, held = state
+        if last is None or ts - last >= seconds:
+            return (ts, 0), (ts, held)
+        return (last, min(held + 1, most)), None
 
-    start = F.struct(none.alias("out"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("held"))
-    return ordered.select(key, F.explode(F.aggregate("_all", start, step)["out"]).alias("x")).select(key, "x.*")
+    timed = events.where("ts is not null").select(key, F.col("ts").cast("double").alias("ts"))
+    return folded(timed, key, ["ts"], ["ts"], "ts double, suppressed long", (None, 0), step)
 
 
 def confirmed(requests: DataFrame, confirms: DataFrame, seconds: int = 120) -> DataFrame:

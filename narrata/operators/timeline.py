@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions.letters import meta_escaped
+from narrata.operators.folds import folded
 
 HEADROOM, LEAST_SECONDS = 0.97, 0.5
 
@@ -43,19 +44,17 @@ def has_structure(plan: DataFrame) -> DataFrame:
 
 
 def parts(infos: DataFrame, bits_per_second: int, mib: int) -> DataFrame:
-    """doc_id, index, duration -> and part: chunks packed in order, each part within the size. One fold for each document."""
+    """doc_id, index, duration -> and part: chunks packed in order, each part within the size; a null duration takes no room."""
     most, rate = mib * 1024 * 1024 * HEADROOM, bits_per_second / 8
-    ordered = infos.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "duration"))).alias("all"))
-    none = F.expr("cast(array() as array<struct<index:bigint,part:int>>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        size = x["duration"] * rate
-        full = (acc["size"] > 0) & (acc["size"] + size > most)
-        part = acc["part"] + full.cast("int")
-        return F.struct(F.concat(acc["out"], F.array(F.struct(x["index"].cast("long").alias("index"), part.alias("part")))).alias("out"), part.alias("part"), F.when(full, size).otherwise(acc["size"] + size).alias("size"))
+    def step(state: tuple, index: int, duration: float | None) -> tuple:
+        part, size = state
+        own = (duration or 0.0) * rate
+        part, size = (part + 1, own) if size > 0 and size + own > most else (part, size + own)
+        return (part, size), (index, part)
 
-    folded = ordered.select("doc_id", F.explode(F.aggregate("all", F.struct(none.alias("out"), F.lit(1).alias("part"), F.lit(0.0).alias("size")), step)["out"]).alias("x"))
-    return folded.select("doc_id", "x.index", "x.part")
+    timed = infos.select("doc_id", F.col("index").cast("long").alias("index"), F.col("duration").cast("double").alias("duration"))
+    return folded(timed, "doc_id", ["index"], ["index", "duration"], "index long, part int", (1, 0.0), step)
 
 
 def part_title(title: Column, part: Column, of: Column) -> Column:

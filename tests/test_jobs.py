@@ -18,6 +18,13 @@ def test_throttle(spark):
     assert [(r.ts, r.suppressed) for r in jobs.throttled(events, "user_id").orderBy("ts").collect()] == [(100.0, 0), (161.0, 99)]
 
 
+def test_throttle_of_a_hot_user(spark):
+    rows = [(1, float(i)) for i in range(50_000)] + [(2, 3.0), (None, 1.0), (None, 2.0), (3, None)]
+    got = jobs.throttled(spark.createDataFrame(rows, "user_id long, ts double"), "user_id").collect()
+    assert sorted(r.ts for r in got if r.user_id == 1) == [float(i) for i in range(0, 50_000, 60)]
+    assert {r.suppressed for r in got if r.user_id == 1} == {0, 59} and sorted((str(r.user_id), r.ts) for r in got if r.user_id != 1) == [("2", 3.0), ("None", 1.0)]
+
+
 def test_retry_is_fair(spark):
     def due(last, now):
         j = spark.createDataFrame([(i, "ready", False, "o", t) for i, t in last.items()], "id long, stage string, delivered boolean, output_paths string, last_attempt double")
