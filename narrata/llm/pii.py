@@ -186,6 +186,7 @@ def disclosed(around: DataFrame, docs: DataFrame) -> DataFrame:
     known = stage(known.groupBy("term").agg(F.count("*").alias("n_t")), "pii-known")
     n = docs.count()
     share = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e")) * F.col("evidence")
+    share = F.round(share, 9)  # the last digits of a logarithm decide nothing
     counts = known.agg(F.sum(F.octet_length("term") + 48)).first()[0] or 0
     said = pairs.where(F.col("n_e") < n).join(small(known, counts), "term").select("pair", F.col("n_et").alias("n"), share.alias("share"))
     return stage(said.where(F.col("share") >= GENERALISE), "pii-disclosed")
@@ -237,3 +238,61 @@ def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = F.transform("added", lambda x: spelled(F.when(x["share"] >= REMOVE, F.lit("removed")).otherwise(F.lit("generalised")), x))
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
     return spans.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, added), ",").alias("spans"))
+
+
+def _placed_sql(text: str, pattern: str) -> str:
+    """A list of {a, b, v} in DuckDB: the matches of a pattern, placed by the lengths of what is between them."""
+    m, g = f"regexp_extract_all({text}, '{pattern}')", f"list_transform(string_split_regex({text}, '{pattern}'), lambda x: length(x))"
+    return f"""list_transform([{{'m': {m}, 'g': {g}, 'n': list_transform({m}, lambda x: length(x))}}], lambda z: list_transform(range(1, len(z.m) + 1), lambda i:
+        {{'a': CAST(list_sum(z.g[1:i]) + coalesce(list_sum(z.n[1:i - 1]), 0) AS BIGINT), 'b': CAST(list_sum(z.g[1:i]) + list_sum(z.n[1:i]) AS BIGINT), 'v': z.m[i]}}))[1]"""
+
+
+_DIGITS_SQL = "regexp_replace(x.v, '[^0-9]', '', 'g')"
+#: Each kind's pattern, as the contract has it, and what a match must be.
+_KINDS_SQL = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x.v, '.'), lambda y: coalesce(TRY_CAST(y AS HUGEINT), 256) > 255)) = 0"),
+    (r"[0-9]([\x20-]?[0-9])+", f"""length({_DIGITS_SQL}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS_SQL}) + 1), lambda i:
+        [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 0, 2, 4, 6, 8, 1, 3, 5, 7, 9][10 * ((i - 1) % 2) + CAST(substr({_DIGITS_SQL}, -i, 1) AS INT) + 1])) % 10 = 0"""),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS_SQL}) BETWEEN 9 AND 15"),
+)
+_BASE_SQL = " || ".join(f"list_transform(list_filter({_placed_sql('text', p)}, lambda x: {ok}), lambda x: {{'k': {k}, 'a': x.a, 'b': x.b, 'v': x.v}})" for k, (p, ok) in enumerate(_KINDS_SQL))
+_TERM_SQL = r"\p{L}{3,}"
+
+
+def _masked_sql(since: str, until: str) -> str:
+    part = f"substr(text, {since} + 1, {until} - {since})"
+    return f"array_to_string(list_transform(range(1, length({part}) + 1), lambda i: CASE WHEN len(list_filter(base, lambda y: y.a < {since} + i AND {since} + i <= y.b)) > 0 THEN '0' ELSE substr({part}, i, 1) END), '')"
+
+
+#: The same by loops over lists: contexts cut from the text, every count made over all documents.
+OP1_SQL = f"""WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), s AS (
+    SELECT r, doc_id, text, {_BASE_SQL} AS base FROM d
+), e AS (
+    SELECT r, text, base, unnest(base) AS x FROM s
+), w AS (
+    SELECT r, x.k || ':' || x.v AS entity, greatest(x.a - {REACH}, 0) AS since, x.b AS b,
+        {_masked_sql(f"greatest(x.a - {REACH}, 0)", "x.a")} AS before, {_masked_sql("x.b", f"(x.b + {REACH})")} AS after FROM e
+), t AS (
+    SELECT r, entity, before || chr(10) || chr(0) || after AS place, unnest(
+        list_transform(list_filter({_placed_sql("before", _TERM_SQL)}, lambda y: y.a > 0 OR since = 0), lambda y: {{'term': lower(y.v), 'a': y.a + since, 'b': y.b + since}})
+        || list_transform(list_filter({_placed_sql("after", _TERM_SQL)}, lambda y: y.b < {REACH}), lambda y: {{'term': lower(y.v), 'a': y.a + b, 'b': y.b + b}})) AS y FROM w
+), ne AS (
+    SELECT entity, count(DISTINCT r) AS n_e, count(DISTINCT before || chr(10) || chr(0) || after) AS c_e FROM w GROUP BY entity
+), net AS (
+    SELECT entity, y.term AS term, count(DISTINCT r) AS n_et, count(DISTINCT place) AS c FROM t GROUP BY ALL
+), nt AS (
+    SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '{_TERM_SQL}'), lambda x: lower(x)))) AS term FROM d) GROUP BY term
+), said AS (
+    SELECT entity, term, round(ln(n_et * n / (n_e * n_t)) / ln(n / n_e) * greatest((c + 0.5::DOUBLE) / (c_e + 1), c / (c + 1)), 9) AS share
+    FROM net JOIN ne USING (entity) JOIN nt USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d) WHERE n_e < n
+), added AS (
+    SELECT r, list(CASE WHEN share >= {REMOVE} THEN 'removed:' ELSE 'generalised:' END || a || ':' || b ORDER BY a, b) AS added
+    FROM (SELECT r, y.a AS a, y.b AS b, max(share) AS share FROM t JOIN said ON said.entity = t.entity AND said.term = t.y.term WHERE share >= {GENERALISE} GROUP BY ALL) GROUP BY r
+), z AS (
+    SELECT r, doc_id, base, list_transform(base, lambda x: ['email', 'ip', 'card', 'phone'][x.k + 1] || ':' || x.a || ':' || x.b) AS said FROM s
+)
+SELECT doc_id, {", ".join(f"CAST(len(list_filter(base, lambda x: x.k = {i})) AS BIGINT) AS n_{k}" for i, k in enumerate(KINDS))},
+    sha256(array_to_string(said, ',')) AS base_sha256, array_to_string(said || coalesce(added, []), ',') AS spans FROM z LEFT JOIN added USING (r)"""

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
 }
 
-SQL: dict[str, str] = {"op2_mix_systematic": mixing.OP2_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
+SQL: dict[str, str] = {"op1_pii_disclosure": pii.OP1_SQL, "op2_mix_systematic": mixing.OP2_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}

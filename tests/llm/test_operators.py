@@ -6,11 +6,12 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from narrata.llm import bpe, chunking, common, fingerprints, html, media, minhash, mixing, pii, quality, secrets, urls
+from narrata.llm import bpe, chunking, common, fingerprints, html, media, minhash, mixing, pii, quality, registry, secrets, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PASSAGE = "one passage that several documents of this table share word for word and that is long enough to be cut as a chunk of its own. " * 30
@@ -809,3 +810,19 @@ def test_clear_staged(spark):
     assert not common._staged.paths
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+# --- SQL ---
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_against_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    wanted = con.execute(registry.SQL[name]).df()
+    found = registry.QUERIES[name](spark, sf).toPandas()
+    assert sorted(found.columns) == sorted(wanted.columns)
+    cell = lambda x: round(x, 6) if isinstance(x, float) else x
+    rows = lambda f: sorted(repr([cell(x) for x in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    assert len(found) and rows(found) == rows(wanted)
