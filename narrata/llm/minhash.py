@@ -8,8 +8,9 @@ at most j no later rank can win, hence the early stop. Here a rank is taken for
 Documents with equal shingle sets fall into one class first. Classes that share a band are compared on their full sets,
 but not as all pairs of a band: first with one pivot for each band. Where a band still holds several components, packed
 blocks of its documents are compared on 16 bits of each shingle's hash, which bounds the similarity from above, and pairs
-that may be linked are decided on their sets: first only the best few of each document, which joins most of them, then all
-that are still in different components. So any two documents that share a band end either compared or in one component.
+that may be linked are decided on their sets: first a forest of the likeliest ones over components, at most one for two
+components, which joins nearly all of them, then all that are still in different components. So any two documents that
+share a band end either compared or in one component. What the later links join are components, not their documents.
 
 Defined cases: null or white text has no shingles (n_shingles 0), links with nothing and is kept; fewer words than the
 shingle's length make one shingle of all words; rows with a null doc_id are kept, never linked, and have a null component;
@@ -35,13 +36,15 @@ BANDS, ROWS = 32, 5
 KEPT_WORDS = 150_000
 #: Shingles signed at a time; with it the permutations of one step stay under 20 MB (slots are bytes, so at most 256).
 STEP = 120_000
-#: Documents in a block of the later comparisons, and partners of a document that each block proposes at first.
-BLOCK, BEST = 64, 2
+#: Documents in a block of the later comparisons, and pairs of components that a task holds before it gives out their forest.
+BLOCK, HELD = 64, 100_000
 #: Blocks of a band on one side of a cell of block pairs, about.
 SIDE = 16
 #: Rows of a label table that are written together, so that its many rounds don't leave many small files.
 ROWS_A_FILE = 500_000
 GOLD = 0x9E3779B97F4A7C15
+#: A pair of classes, their components, and their similarity as far as known.
+PROMISING = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("la", pa.int64()), ("lb", pa.int64()), ("like", pa.float64())])
 EMPTY = np.iinfo(np.uint64).max
 
 
@@ -165,22 +168,41 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             at = np.searchsorted(q, p)
             both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
             yes.append(100 * both >= percent * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        yield b.select([c for c in b.schema.names if c not in ("x", "y")]).filter(pa.array(yes, pa.bool_()))
 
 
-def _promising(batches: Iterator[pa.RecordBatch], percent: int, best: int | None) -> Iterator[pa.RecordBatch]:
+def _forest(likeliest: dict[tuple[int, int], tuple[float, int, int]]) -> pa.RecordBatch:
+    """Of the likeliest pairs (a, b) of every two components (la, lb), those of a spanning forest, the likeliest first."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for (la, lb), (like, a, b) in sorted(likeliest.items(), key=lambda kv: (-kv[1][0], kv[0])):
+        x, y = find(la), find(lb)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b, la, lb, like))
+    return pa.RecordBatch.from_pylist([dict(zip(PROMISING.names, r, strict=True)) for r in out], PROMISING)
+
+
+def _promising(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs between two blocks of a band, of different components, that may be linked as far as 16 bits of each hash tell.
 
     Shortened hashes can only raise the intersection, so no link is lost. A pair is given out by the first band that it
-    shares. best: only so many for each document of the first block.
+    shares, the document of the lesser component first. forest: only such that form a forest over the components.
     """
+    likeliest: dict[tuple[int, int], tuple[float, int, int]] = {}
 
     def read(x: pa.Array) -> tuple:
         bands = x.field("bands")
         return x.field("cls").to_numpy(), x.field("label").to_numpy(), [np.frombuffer(s.as_buffer(), np.uint16) for s in x.field("short")], bands.flatten().to_numpy().reshape(len(x), -1)
 
     for b in batches:
-        a, to = [], []
+        found = [[np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64)]]
         for band, x, y in zip(b.column("band").to_pylist(), b.column("x"), b.column("y"), strict=True):
             (doc, label, sets, keys), (docs, labels, others, bands) = read(x.values), read(y.values)
             n = np.array([len(s) for s in others])
@@ -193,12 +215,26 @@ def _promising(batches: Iterator[pa.RecordBatch], percent: int, best: int | None
                     continue
                 both = np.minimum(has[at[:, None], s].sum(1), n[at])
                 ok = 100 * both >= percent * (n[at] + len(s) - both)
-                at, both = at[ok], both[ok] / (n[at] + len(s) - both)[ok]
-                if best is not None and len(at) > best:
-                    at = at[np.argsort(-both, kind="stable")[:best]]
-                a += np.minimum(doc[i], docs[at]).tolist()
-                to += np.maximum(doc[i], docs[at]).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], ["a", "b"])
+                at, like = at[ok], both[ok] / (n[at] + len(s) - both)[ok]
+                if forest:
+                    at, like = (v[np.argsort(-like, kind="stable")] for v in (at, like))
+                    once = np.unique(labels[at], return_index=True)[1]
+                    at, like = at[once], like[once]
+                first = label[i] < labels[at]
+                one, two = np.full(len(at), doc[i]), np.full(len(at), label[i])
+                pair = [np.where(first, one, docs[at]), np.where(first, docs[at], one), np.minimum(two, labels[at]), np.maximum(two, labels[at]), like]
+                if not forest:
+                    found.append(pair)
+                    continue
+                for a, to, la, lb, r in zip(*(v.tolist() for v in pair), strict=True):
+                    if (la, lb) not in likeliest or r > likeliest[la, lb][0]:
+                        likeliest[la, lb] = r, a, to
+            if len(likeliest) > HELD:
+                yield _forest(likeliest)
+                likeliest.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=PROMISING)
+    if likeliest:
+        yield _forest(likeliest)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,6 +265,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (cls, label) after links of their components (la, lb). Only the components' graph is gone through again.
+
+    A class that labels lacks is a component of its own.
+    """
+    roots = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    labels = labels.union(roots.join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label")))
+    hot = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), "label", labels.count())
+    found = hot_join(labels, roots.select(F.col("cls").alias("label"), F.col("label").alias("root")), "label", "cls", hot, "left")
+    return stage(found.select("cls", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -264,7 +312,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         for one, by, held in (("a", "b", "x"), ("b", "a", "y")):
             hot = hot_keys(pairs.groupBy(one).agg(F.count("*").alias("n")), one, n)
             joined = hot_join(joined, sets.select(F.col("cls").alias(one), F.col("shingles").alias(held)), one, by, hot)
-        return joined.select("a", "b", "x", "y").mapInArrow(lean(partial(_verified, percent=percent)), "a long, b long")
+        return joined.select(*pairs.columns, "x", "y").mapInArrow(lean(partial(_verified, percent=percent)), pairs.schema)
 
     pairs = stage(members.where((F.col("cls") != F.col("p")) & alike("n", "pn")).select(*pair("cls", "p")).distinct(), "pairs")
     repeated = named.groupBy("doc_id").agg(F.min("same").alias("s"), F.max("same").alias("t"), F.count("same").alias("texts"), F.count("*").alias("rows"))
@@ -275,10 +323,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         of = lambda name: reps.select(F.col("same").alias(name), F.col("cls").alias("a" if name == "first" else "b"))
         own = named.where("n > 0").select("doc_id", "same").distinct().join(repeated, "doc_id").where("same <> first")
         links = links.union(own.join(of("first"), "first").join(of("same"), "same").select(*pair("a", "b")).distinct())
-    links = stage(links, "links")
-    labels = components(links)
+    labels = components(stage(links, "links"))
     seen = stage(reps.select("cls", "bands").join(sets.select("cls", "short"), "cls"), "seen")
-    for best in (BEST, None):
+    for forest in (True, False):
         parts = members.select("band", "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         groups = stage(parts.groupBy("band", "label").agg(F.count("*").alias("c")), "groups")
         full = F.col("c") >= BLOCK
@@ -300,11 +347,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         these = blocks.select("band", "own", "block", "x", side.alias("row"), all_sides.alias("column"))
         other = blocks.select("band", F.col("own").alias("y_own"), F.col("block").alias("y_block"), F.col("x").alias("y"), side.alias("column"), all_sides.alias("row"))
         met = these.join(other, ["band", "row", "column"]).where((name("own", "block") <= name("y_own", "y_block")) & F.coalesce(F.col("own") != F.col("y_own"), F.lit(True)))
-        met = met.select("band", "x", "y").mapInArrow(lean(partial(_promising, percent=percent, best=best)), "a long, b long")
-        more = stage(verified(stage(met.distinct(), "pairs")), "links")
+        met = met.select("band", "x", "y").mapInArrow(lean(partial(_promising, percent=percent, forest=forest)), "a long, b long, la long, lb long, like double")
+        met = met.groupBy("la", "lb").agg(F.max(F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b", "la", "lb") if forest else met.drop("like").distinct()
+        more = stage(verified(stage(met, "pairs")), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+            labels = merged(labels, more)
 
     labels = stage(reps.select("cls", "same", "rows").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labels")
     hot = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), "label", labels.count())

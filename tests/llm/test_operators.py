@@ -167,6 +167,47 @@ def test_one_band_of_many_unlinked_documents(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == wanted
 
 
+def test_large_groups_are_joined_by_few_links(spark, monkeypatch):
+    """Groups of near copies that no pivot joins: what is decided on full sets later grows with the documents, not their pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "band_keys", lambda sig, bands, rows: np.tile(np.arange(bands), (len(sig), 1)))
+    staged, stage = [], minhash.stage
+    monkeypatch.setattr(minhash, "stage", lambda df, name: staged.append((name, out := stage(df, name))) or out)
+    rng = random.Random(17)
+    all_ = []
+    for group in range(3):
+        base = [str(rng.randrange(10_000)) for _ in range(40)]
+        all_ += [(100 * group + i, " ".join([*base[: i % 40], f"z{i}", *base[i % 40 + 1 :]])) for i in range(40)]
+    wanted, _ = components(all_, 1)
+    rows = minhash.near_duplicates(documents(spark, all_).repartition(1), shingle=1, bands=2, rows=2).collect()
+    assert {r.doc_id: r.component_id for r in rows} == wanted and set(wanted.values()) == {0, 100, 200}
+    pivots, *later = [df.count() for name, df in staged if name == "pairs"]
+    assert pivots < len(all_) and sum(later) <= 2 * len(all_)
+    assert sum(df.count() for name, df in staged if name == "links") <= 8 * len(all_)
+
+
+def test_forest_of_promising_pairs(monkeypatch):
+    """The likeliest pairs that join all components, whatever their order; what is held before they are given out is bounded."""
+    import pyarrow as pa
+
+    def block(classes):
+        short = lambda c: np.array([*range(50 - c % 5), *range(1000 + 5 * c, 1000 + 5 * c + c % 5)], np.uint16).tobytes()
+        return [{"cls": c, "label": c, "short": short(c), "bands": [7, 8]} for c in classes]
+
+    fields = pa.list_(pa.struct([("cls", pa.int64()), ("label", pa.int64()), ("short", pa.binary()), ("bands", pa.list_(pa.int64()))]))
+    met = pa.table({"band": [7, 7, 7], "x": pa.array([block(range(20)), block(range(20)), block(range(20, 40))], fields), "y": pa.array([block(range(20, 40)), block(range(20)), block(range(20, 40))], fields)})
+    for held, most in ((100_000, 39), (10, 39 * 3)):
+        monkeypatch.setattr(minhash, "HELD", held)
+        found = pa.Table.from_batches(minhash._promising(iter(met.to_batches()), 80, True)).to_pylist()
+        label = list(range(40))
+        for r in found:
+            assert r["la"] < r["lb"] and (r["a"], r["b"]) == (r["la"], r["lb"])
+            label = [label[r["a"]] if x == label[r["b"]] else x for x in label]
+        assert len(set(label)) == 1 and len(found) <= most
+    every = pa.Table.from_batches(minhash._promising(iter(met.to_batches()), 80, False)).to_pylist()
+    assert {(r["a"], r["b"]) for r in every} == {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * (50 - max(i % 5, j % 5)) >= 80 * (50 + max(i % 5, j % 5))}
+
+
 def test_hot_join(spark, monkeypatch):
     monkeypatch.setattr(common, "LEAST_HOT", 3)
     monkeypatch.setattr(common, "HOT", 4)
